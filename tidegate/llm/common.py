@@ -58,7 +58,7 @@ def release() -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, from file sizes for scans."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parts_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embdedup, mixing, topk
+from . import bpe, embdedup, langid, linededup, minhash, mixing, rlz, tokencount, topk
 from .common import load
 
 SQL: dict[str, str] = {}
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda i: i % 100 == 0)
 
@@ -31,8 +37,108 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix_sources(load(spark, sf_dir, "documents"))
 
 
+SQL["op2_mixing"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS lot
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::DOUBLE AS size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source
+), level(i, l, w) AS (
+  SELECT 0, (SELECT sum(size) FROM s), (SELECT sum(weight) FROM s)
+  UNION ALL
+  SELECT i + 1,
+    (SELECT sum(size) FROM s) - coalesce((SELECT sum(3 * s.size) FROM s WHERE s.weight * level.l / level.w > 3 * s.size), 0),
+    coalesce((SELECT sum(s.weight) FROM s WHERE NOT s.weight * level.l / level.w > 3 * s.size), 1)
+  FROM level WHERE i < 40
+), t AS (
+  SELECT s.*, CASE WHEN weight * l / w > 3 * size THEN 3 * size ELSE weight * l / w END AS target FROM s, level WHERE i = 40
+), p AS (
+  SELECT *, least(3, CASE WHEN size > 0 THEN floor(target / size) ELSE 0 END) AS whole FROM t
+), r AS (
+  SELECT d.*, p.size AS source_size, target, whole, round(target - whole * p.size) AS need,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY lot, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), q AS (SELECT *, greatest(0, least(size, need - before)) AS part FROM r)
+SELECT doc_id, source, size, source_size::BIGINT AS source_size, target::DOUBLE AS target, (whole * size + part)::BIGINT AS taken,
+  (whole + CASE WHEN 2 * part >= greatest(size, 1) THEN 1 ELSE 0 END)::INTEGER AS copies
+FROM q
+"""
+
+
+def op3_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), size=4, threshold=0.8)
+
+
+SQL["op3_minhash_dedup"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a AS u, b AS v FROM link UNION ALL SELECT b, a FROM link),
+reach(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.u, edge.v FROM reach JOIN edge ON edge.u = reach.v),
+c AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id
+"""
+
+
+def op4_language_id(spark, sf_dir):
+    return langid.identify(load(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(load(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op6_embedding_dedup(spark, sf_dir):
     return embdedup.near_duplicates(load(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op6_embedding_dedup)}
+def op7_bpe(spark, sf_dir):
+    return bpe.encode_texts(load(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    return rlz.dedup_substrings(load(spark, sf_dir, "documents"))
+
+
+SQL["op9_substring_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN least USING (g), range(13) r(k) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS s, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(s, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op10_line_dedup(spark, sf_dir):
+    out = linededup.dedup_lines(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op10_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, line, pos, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+), n AS (SELECT doc_id, pos, s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p FROM l WHERE s <> ''),
+win AS (
+  SELECT * FROM (SELECT doc_id, p, [s, lead(s) OVER w, lead(s, 2) OVER w] AS g, lead(p, 2) OVER w AS last FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY p)) WHERE last IS NOT NULL
+), first AS (SELECT g, min((doc_id, p)) AS f FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT win.doc_id, win.p + k AS p FROM win JOIN first USING (g), range(3) r(k)
+  WHERE (win.doc_id, win.p) > f AND NOT (win.doc_id = f[1] AND win.p + k BETWEEN f[2] AND f[2] + 2)
+), kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS t, count(DISTINCT n.p) AS kn
+  FROM l LEFT JOIN n ON n.doc_id = l.doc_id AND n.pos = l.pos WHERE (l.doc_id, n.p) NOT IN (SELECT (doc_id, p) FROM gone) OR n.p IS NULL GROUP BY l.doc_id
+), counts AS (SELECT doc_id, count(*) AS c FROM n GROUP BY doc_id), removed AS (SELECT doc_id, count(*) AS r FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_minhash_dedup, op4_language_id, op5_token_counts, op6_embedding_dedup, op7_bpe, op9_substring_dedup, op10_line_dedup)}
