@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Rows in a shard and queries in a block: the bounds on what one task holds.
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
-LEVELS, CHECKS = 16, 16
+LEVELS, CHECKS, SEEN_BITS = 16, 16, 12
 
 
 class ImpactIndex:
@@ -33,9 +33,12 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, values: np.ndarray, levels: int = LEVELS):
         self.ids, self.values = ids, values
         n, dims = values.shape
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)  # by dimension
-        self.sorted = np.take_along_axis(values, self.order.T.astype(np.int64), axis=0).T
+        self.order = np.argsort(values, axis=0, kind="stable").T.copy()  # by dimension
+        self.sorted = np.take_along_axis(values, self.order.T, axis=0).T
         self.low, self.high = self.sorted[:, 0], self.sorted[:, -1]
+        self.largest = float(np.abs(values).max(initial=0))
+        self.small = self.largest < 2**52
+        self.floats = values.astype(np.float64) if self.small else None
         lo, hi, dim = [], [], []
         for d in range(dims):
             step = max(1, -(-(int(self.high[d]) - int(self.low[d]) + 1) // levels))
@@ -45,6 +48,12 @@ class ImpactIndex:
         self.lo, self.hi, self.dim = map(np.concatenate, (lo, hi, dim))
         self.least, self.most = self.sorted[self.dim, self.lo], self.sorted[self.dim, self.hi - 1]
 
+    def _exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products; in floating point where that is exact."""
+        if self.small and float(np.abs(query).max(initial=0)) * self.largest * len(query) < 2**53:
+            return (self.floats[rows] @ query.astype(np.float64)).astype(np.int64)
+        return self.values[rows] @ query
+
     def search(self, query: np.ndarray, own_id, k: int):
         """(ids, scores) of the k best rows other than own_id, best first."""
         n, dims = self.values.shape
@@ -53,32 +62,40 @@ class ImpactIndex:
         impact = np.where(q >= 0, q * self.most, q * self.least) - floor[self.dim]
         use = np.flatnonzero(impact > 0)
         use = use[np.argsort(-impact[use], kind="stable")]
-        gain, seen = np.zeros(n, np.int64), np.zeros(n, np.int16)
+        packed = np.zeros(n)
         own = self.ids == own_id
         base = int(floor.sum())
+        length = self.hi - self.lo
+        postings, read = int(length[use].sum()), 0
         every = max(1, -(-len(use) // CHECKS))
         maybe = np.flatnonzero(~own)
+        if dims >= 1 << SEEN_BITS or float(impact[use].sum()) >= 2 ** (52 - SEEN_BITS):
+            use = use[:0]  # sums would not be exact: every row is a possible member
         for at in range(0, len(use), every):
-            for s in use[at : at + every]:
-                d = self.dim[s]
-                rows = self.order[d, self.lo[s] : self.hi[s]]
-                gain[rows] += query[d] * self.sorted[d, self.lo[s] : self.hi[s]] - floor[d]
-                seen[rows] += 1
+            now = use[at : at + every]
+            rows = np.concatenate([self.order[d, a:b] for d, a, b in zip(self.dim[now], self.lo[now], self.hi[now], strict=True)])
+            value = np.concatenate([self.sorted[d, a:b] for d, a, b in zip(self.dim[now], self.lo[now], self.hi[now], strict=True)])
+            each = length[now]
+            value = value * np.repeat(q[now], each) - np.repeat(floor[self.dim[now]], each)
+            packed += np.bincount(rows, value * (1 << SEEN_BITS) + 1, n)  # gains and the number of dimensions seen
+            read += len(rows)
+            whole = packed.astype(np.int64)
+            gain, seen = whole >> SEEN_BITS, whole & ((1 << SEEN_BITS) - 1)
             rest = np.zeros(dims, np.int64)
             left = use[at + every :]
             np.maximum.at(rest, self.dim[left], impact[left])
             still = np.concatenate(([0], np.cumsum(-np.sort(-rest))))
-            bound = base + gain + still[np.maximum(0, dims - seen.astype(np.int64))]
+            bound = base + gain + still[dims - seen]
             bound[own] = np.iinfo(np.int64).min
-            pool = np.argpartition(-bound, min(n - 1, 4 * k))[: 4 * k] if n > 4 * k else np.arange(n)
+            pool = np.argpartition(-bound, 4 * k)[: 4 * k] if n > 4 * k else np.arange(n)
             pool = pool[~own[pool]]
             if len(pool) < k:
                 continue
-            kth = np.sort(self.values[pool] @ query)[-k]
+            kth = np.sort(self._exact(pool, query))[-k]
             maybe = np.flatnonzero((bound >= kth) & ~own)
-            if len(maybe) <= max(4 * k, n // 16):  # proof: no other row can be among the k best
+            if len(maybe) * dims <= postings - read:  # proof: no other row can be among the k best, and these cost less than reading on
                 break
-        score = self.values[maybe] @ query
+        score = self._exact(maybe, query)
         best = np.lexsort((self.ids[maybe], -score))[:k]
         return self.ids[maybe][best], score[best]
 
