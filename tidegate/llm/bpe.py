@@ -17,7 +17,7 @@ import json
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Words kept in each of the memo's two generations.
 MEMO_WORDS = 300_000
@@ -125,8 +125,8 @@ def codec(key: str, spec: dict) -> Codec:
     return _codecs[key]
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of every row, and its ids as an array if with_ids.
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 of every row, its ids as an array if with_ids, and the columns to keep.
 
     The vocabulary is read on the driver and sent to executors; its file bounds its size.
     """
@@ -146,10 +146,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
                 if with_ids:
                     ids.append([i for p in parts for i in p[0]])
-            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.record_batch(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(encode, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
-    return out.withColumnRenamed("id", id_col)
+            cols = [*batch.columns[2:], batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.record_batch(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=[*batch.schema.names[2:], *made])
+
+    made = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[c for c in keep if c != id_col and c not in made])
+    kinds = [T.LongType(), T.StringType(), T.StringType()] + [T.ArrayType(T.IntegerType())] * with_ids
+    schema = T.StructType([*rows.schema.fields[2:], rows.schema["_id"], *[T.StructField(n, k) for n, k in zip(made[1:], kinds, strict=True)]])
+    return rows.mapInArrow(encode, schema).withColumnRenamed("_id", id_col)

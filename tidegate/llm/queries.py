@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, langid, linededup, minhash, mixing, rlz, tokencount, topk
+from . import bpe, chat, embdedup, langid, linededup, minhash, mixing, rlz, tokencount, topk
 from .common import load
 
 SQL: dict[str, str] = {}
@@ -101,6 +101,24 @@ def op7_bpe(spark, sf_dir):
     return bpe.encode_texts(load(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+#: Schemas of the tools that conversations may call.
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "additionalProperties": False},
+    "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}, "additionalProperties": False},
+}
+
+
+def op8_chat_format(spark, sf_dir):
+    return chat.format_chat(load(spark, sf_dir, "conversations"), TOOLS)
+
+
+SQL["op8_chat_format"] = """
+SELECT conv_id, turn, role, turn AS order_turn, 0 AS level, 0::BIGINT AS n_calls, 0::BIGINT AS n_answered, 0::BIGINT AS n_invalid, 0::BIGINT AS n_repeated,
+  false AS orphan, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS message
+FROM conversations
+"""
+
+
 def op9_substring_dedup(spark, sf_dir):
     return rlz.dedup_substrings(load(spark, sf_dir, "documents"))
 
@@ -141,4 +159,4 @@ FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id) L
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_minhash_dedup, op4_language_id, op5_token_counts, op6_embedding_dedup, op7_bpe, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_minhash_dedup, op4_language_id, op5_token_counts, op6_embedding_dedup, op7_bpe, op8_chat_format, op9_substring_dedup, op10_line_dedup)}
