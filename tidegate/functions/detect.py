@@ -19,16 +19,16 @@ def noisy_or(scores) -> Column:
     return 1 - F.aggregate(_c(scores), F.lit(1.0), lambda p, x: p * (1 - x))
 
 
-def signature_hits(text, signatures=fixed.SIGNATURES, normalise: bool = True) -> Column:
+def signature_hits(text, signatures=fixed.SIGNATURES, normalise: bool = True, folded: bool = False) -> Column:
     """array of (id, category, severity, match): the first match of each signature that fires, in the folded text."""
-    folded = fold(text, normalise)
+    folded = _c(text) if folded else fold(text, normalise)
     found = [F.when(any_of(folded, f"(?i){p}"), F.struct(F.lit(i).alias("id"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.substring(F.regexp_extract(folded, f"(?i)({p})", 1), 1, 120).alias("match"))) for i, c, s, p, _ in signatures]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def signature_score(text, signatures=fixed.SIGNATURES, normalise: bool = True) -> Column:
-    """Noisy-or of the severities that fire; 0 if none does."""
-    folded = fold(text, normalise)
+def signature_score(text, signatures=fixed.SIGNATURES, normalise: bool = True, folded: bool = False) -> Column:
+    """Noisy-or of the severities that fire; 0 if none does.  folded: the text has been folded."""
+    folded = _c(text) if folded else fold(text, normalise)
     quiet = F.lit(1.0)
     for _, _, severity, pattern, _ in signatures:
         quiet = quiet * F.when(any_of(folded, f"(?i){pattern}"), F.lit(1.0) - F.lit(severity)).otherwise(1.0)
@@ -71,6 +71,8 @@ def hash_score(value, salt: str = "") -> Column:
 
 
 SCORERS: dict[str, Callable[..., Column]] = {"keyword": keyword_score, "hash": hash_score}
+#: Scorers that are plain column expressions: they run inside higher-order functions, without rows of windows.
+IN_ROW = {"keyword", "hash"}
 
 
 def register_scorer(name: str, build: Callable[..., Column]) -> None:

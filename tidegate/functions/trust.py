@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import TrustConfig
 from .text import _c
@@ -82,6 +82,17 @@ def assess(config: TrustConfig, domain, text_threat, visual_threat, alignment=No
     )
 
 
+def with_assessment(df: DataFrame, config: TrustConfig, out: str, domain, text_threat, visual_threat, alignment, has_text) -> DataFrame:
+    """assess as a column `out` of df, step by step, so that no step's expression is repeated inside the next."""
+    d = _c(domain)
+    df = df.withColumns({"_t": F.when(has_text, clean_probability(text_threat, "text_threat")), "_v": clean_probability(visual_threat, "visual_threat"), "_a": F.when(has_text, clean_probability(alignment, "alignment"))})
+    df = df.withColumns({f"_{n}": per_domain(config, d, n) for n in ("w_text", "w_visual", "align_lambda", "accept_below", "reject_at_or_above")})
+    df = df.withColumn("_fused", fuse("_t", "_v", F.col("_w_text"), F.col("_w_visual"), config.fusion_mode))
+    df = df.withColumn("_risk", contextual_risk("_fused", "_a", F.col("_align_lambda")))
+    made = F.struct(F.col("_fused").alias("fused"), F.col("_risk").alias("risk"), (1 - F.col("_risk")).alias("trust"), band("_risk", F.col("_accept_below"), F.col("_reject_at_or_above"), config.no_evidence_decision).alias("decision"), F.col("_accept_below").alias("accept_below"), F.col("_reject_at_or_above").alias("reject_at_or_above"))
+    return df.withColumn(out, made).drop("_t", "_v", "_a", "_fused", "_risk", "_w_text", "_w_visual", "_align_lambda", "_accept_below", "_reject_at_or_above")
+
+
 def explain(config: TrustConfig, assessed) -> Column:
     """One sentence on why: the threats, the alignment and the band that decided."""
     x = _c(assessed)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import MODALITIES, RUNTIME_TRUST, DefenseConfig, TrustConfig
 from ..functions import detect, hosts, policy, text as tx, trust
+from ..sources.tables import cut
 from ..streaming.adaptive import decide_in_order
 
 RESPONSE = "seq long, session string, content string, modality string, tool_name string, source_url string, image_path string, visual_threat double, alignment double"
@@ -49,17 +50,49 @@ def filter_content(df: DataFrame, content: str = "content", modality: str = "mod
     return out.drop("_visible", "_all", "_hidden", "_comments", "_u", "_f", "_seen")
 
 
+def _windows(flat, domain, config: DefenseConfig) -> Column:
+    several = tx.token_windows(F.split(flat, " "), config.window_tokens, config.window_stride, config.max_windows)
+    return F.when(tx._c(domain).isin(*config.window_domains), F.transform(several, lambda w: F.array_join(w, " "))).otherwise(F.array(flat))
+
+
+def with_threat(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str, out: str) -> DataFrame:
+    """df with the largest score over a text's windows; null without text.
+
+    Column scorers run inside the row; for others windows become rows, equal ones
+    are scored once, and the maximum is joined back.
+    """
+    if scorer in detect.IN_ROW:
+        df = df.withColumn("_flat", tx.flatten(text)).withColumn("_windows", _windows(F.col("_flat"), domain, config))
+        return df.withColumn(out, F.when(F.col("_flat") != "", F.array_max(F.transform("_windows", detect.SCORERS[scorer])))).drop("_flat", "_windows")
+    df = cut(df, "threat")
+    return df.join(text_threat(df, key, text, domain, config, scorer, out), key, "left")
+
+
 def text_threat(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str = "keyword", out: str = "t") -> DataFrame:
     """key and the largest score over overlapping windows; for other domains the whole text; null without text.
 
     Equal windows are scored once.
     """
     flat = tx.flatten(text)
-    windows = F.when(F.col(domain).isin(*config.window_domains), F.transform(tx.token_windows(F.split(flat, " "), config.window_tokens, config.window_stride, config.max_windows), lambda w: F.array_join(w, " "))).otherwise(F.array(flat))
-    rows = df.where(flat != "").select(key, F.explode(windows).alias("_w"))
+    rows = df.where(flat != "").select(key, F.explode(_windows(flat, domain, config)).alias("_w"))
     return detect.score_distinct(rows, "_w", "_s", scorer).groupBy(key).agg(F.max("_s").alias(out))
 
 
+def with_sanitised(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str) -> DataFrame:
+    """df with sanitised, n_removed, n_flagged; column scorers run inside the row."""
+    if scorer not in detect.IN_ROW or config.instruction_gate_domains:
+        df = cut(df, "segments")
+        return df.join(sanitise(df, key, text, domain, config, scorer), key, "left").drop("n_segments")
+    use_model = tx._c(domain).isin(*config.segment_model_domains)
+    df = df.withColumn("_segs", tx.viewed_segments(text, config.hard_split_chars, config.max_segments)).withColumn("_use", use_model)
+    score = lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), detect.signature_score(s["folded"], folded=True).alias("p"), F.when(F.col("_use"), detect.SCORERS[scorer](s["view"])).alias("m"))
+    df = df.withColumn("_scored", F.transform("_segs", score))
+    df = df.withColumn("_judged", F.transform("_scored", lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), policy.verdict(config, s["m"], s["p"]).alias("v"))))
+    count = lambda v: F.size(F.filter("_judged", lambda s: s["v"] == v))
+    kept = F.transform("_judged", lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), (s["v"] != "removed").alias("keep")))
+    return df.withColumns({"sanitised": tx.reconstruct(kept), "n_removed": count("removed"), "n_flagged": count("flagged")}).drop("_segs", "_use", "_scored", "_judged")
+
+
 def sanitise(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str = "keyword") -> DataFrame:
     """key, sanitised, n_segments, n_removed, n_flagged.  Segments are rows while they are scored, one array while they are joined."""
     parts = df.select(key, domain, F.posexplode(tx.segments(text, config.hard_split_chars, config.max_segments)).alias("pos", "seg"))
@@ -79,16 +112,18 @@ def features(responses: DataFrame, config: DefenseConfig, trust_config: TrustCon
     meta = hosts.metadata("source_url", "modality", "tool_name", "content")
     base = responses.withColumn("meta", meta).withColumn("key", hosts.source_key("meta.domain", "tool_name")).withColumn("domain", F.col("meta.domain")).drop("meta")
     base = base.withColumn("empty", (F.col("modality") != "image") & (tx.strip(F.coalesce("content", F.lit(""))) == ""))
-    full = filter_content(base.where("not empty"))
-    full = full.withColumn("pattern", detect.signature_score("detection_text")).withColumn("hidden_pattern", detect.signature_score("concealed_text"))
-    full = full.join(text_threat(full, "seq", "detection_lines", "modality", config, scorer), "seq", "left").join(text_threat(full, "seq", "concealed_text", "modality", config, scorer, "hidden_t"), "seq", "left")
+    full = cut(filter_content(base.where("not empty")), "filtered")  # keeps each step's expressions small
+    full = full.withColumns({"_fd": tx.fold("detection_text"), "_fh": tx.fold("concealed_text")})
+    full = full.withColumns({"pattern": detect.signature_score("_fd", folded=True), "hidden_pattern": detect.signature_score("_fh", folded=True)}).drop("_fd", "_fh")
+    full = with_threat(full, "seq", "detection_lines", "modality", config, scorer, "t")
+    full = with_threat(full, "seq", "concealed_text", "modality", config, scorer, "hidden_t")
     full = full.withColumn("concealed", (F.col("concealed_text") != "") & ((F.col("hidden_pattern") >= config.concealed_pattern_threshold) | (F.coalesce("hidden_t", F.lit(0.0)) >= config.concealed_model_threshold)))
-    full = full.withColumn("x", trust.assess(trust_config, "modality", "t", "visual_threat", F.col("alignment"), F.col("detection_text") != ""))
-    clean = sanitise(full, "seq", "delivery_text", "modality", config, scorer)
-    full = full.join(clean, "seq", "left").withColumn("_rest", tx.detection_text(tx.unicode_report("sanitised")["delivery"]))
-    full = full.join(text_threat(full, "seq", "_rest", "modality", config, scorer, "t_post"), "seq", "left").withColumn("p_post", detect.signature_score("_rest"))
-    after = trust.assess(trust_config, "modality", "t_post", F.lit(None).cast("double"), F.col("alignment"), tx.strip(F.col("_rest")) != "")
-    full = full.withColumn("y", after)
+    full = trust.with_assessment(full, trust_config, "x", "modality", "t", "visual_threat", F.col("alignment"), F.col("detection_text") != "")
+    full = cut(with_sanitised(full, "seq", "delivery_text", "modality", config, scorer), "sanitised")
+    full = full.withColumn("_rest", tx.detection_text(tx.unicode_report("sanitised")["delivery"]))
+    full = with_threat(full, "seq", "_rest", "modality", config, scorer, "t_post").withColumn("_fr", tx.fold("_rest"))
+    full = full.withColumn("p_post", detect.signature_score("_fr", folded=True)).drop("_fr")
+    full = trust.with_assessment(full, trust_config, "y", "modality", "t_post", F.lit(None).cast("double"), F.col("alignment"), tx.strip(F.col("_rest")) != "")
     injection = F.greatest("t", "pattern", F.when(F.col("concealed_text") != "", F.col("hidden_t")), F.when(F.col("concealed_text") != "", F.col("hidden_pattern")))
     full = full.withColumns(
         {
@@ -103,7 +138,7 @@ def features(responses: DataFrame, config: DefenseConfig, trust_config: TrustCon
 def triage(responses: DataFrame, config: DefenseConfig | None = None, trust_config: TrustConfig = RUNTIME_TRUST, scorer: str = "keyword") -> DataFrame:
     """Deliveries: seq, session, key, action, threat, level, rules, trust_score, injection_score, secure_content, agent_notice, original_source, image_forwarded, raw_content."""
     config = config or DefenseConfig()
-    full = features(responses, config, trust_config, scorer)
+    full = cut(features(responses, config, trust_config, scorer), "features")  # texts are read and judged once; the fold reads numbers
     stats = full.select("seq", "session", "key", "domain", "modality", F.col("tool_name").alias("tool"), "empty", "risk", "accept", "reject", "evidence", "residual", "remaining", "removed", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("control"))
     decided = decide_in_order(config, stats).select("seq", "action", "threat", "level", "rules")
     out = full.join(decided, "seq")

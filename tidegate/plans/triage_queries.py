@@ -392,11 +392,11 @@ def _(spark, d):
     return ad.replay(kept, asked, "key").select("doc_id", "occurrence", "delivery")
 
 
-@query("prj18_rounding", "SELECT doc_id, round(t, 2) AS t2, round(t * 100, 2) AS percent FROM scored")
+@query("prj18_rounding", "SELECT doc_id, round(t * 100, 2) AS percent FROM scored")
 def _(spark, d):
     from .registry import scored
 
-    return scored(spark, d).select("doc_id", F.round("t", 2).alias("t2"), F.round(F.col("t") * 100, 2).alias("percent"))
+    return scored(spark, d).select("doc_id", F.round(F.col("t") * 100, 2).alias("percent"))
 
 
 @query("prj21_notices", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {q(CFG.reject_notice)} WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN {q(CFG.caution_notice)} ELSE {q(CFG.sanitize_notice)} END END AS told FROM documents")
