@@ -10,11 +10,14 @@ posterior probability that its similarity reaches the threshold, given the
 matches so far, is below the miss probability.  What is left is checked exactly,
 on full sets computed again from whole texts.
 
-Large bands are never expanded into all pairs at first: each class is compared
-with the band's first class, then with its last, and the links found are joined
-into components.  After that only classes that share a band but not a component
-are paired, so no link that could join two components is left out, while a group
-of near copies costs a number of pairs in proportion to its size.
+A band's classes are never expanded into rows of pairs.  Each class is compared
+with the band's first and last class, and the links found are joined into
+components; a band of up to three classes is done then.  In larger bands that
+still hold several components, classes of different components are compared
+block by block as arrays: the same sequential test on signatures, for each pair
+in the first band that it shares, and then exact intersections of full sets by
+products of incidence matrices.  Only ids and the links that hold leave a block,
+so no link that could join two components is left out.
 
 Defined cases: null or wordless texts have an empty set and link with nothing;
 rows that share an id are one node; rows without an id link with nothing, their
@@ -37,6 +40,8 @@ from .graph import connected_components
 BANDS, ROWS = 32, 4
 #: Signature values compared at a time.
 BATCH = 16
+#: Classes of a block in large bands.
+BLOCK = 512
 #: Ids are sent to every executor only up to this many; beyond it they are joined by shuffle.
 SENT_IDS = 1_000_000
 
@@ -96,7 +101,7 @@ def _sketches(docs: DataFrame, size: int, lower: bool) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """rep, key for every band of every class."""
+    """rep, key, band for every band of every class."""
 
     def cut(batches):
         for batch in batches:
@@ -107,9 +112,10 @@ def _bands(classes: DataFrame) -> DataFrame:
                     key = (key ^ sig[:, :, r]) * np.uint64(0xBF58476D1CE4E5B9)
                     key = key ^ (key >> np.uint64(31))
             rep = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.record_batch([pa.array(rep), pa.array(key.ravel().view(np.int64))], names=["rep", "key"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
+            yield pa.record_batch([pa.array(rep), pa.array(key.ravel().view(np.int64)), pa.array(band)], names=["rep", "key", "band"])
 
-    return classes.select("rep", "sig").mapInArrow(cut, "rep long, key long")
+    return classes.select("rep", "sig").mapInArrow(cut, "rep long, key long, band int")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -131,8 +137,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
     return met.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, size: int, lower: bool, threshold: float) -> DataFrame:
-    """The pairs whose full sets, made again from whole texts, reach the threshold."""
+def _sets(docs: DataFrame, ids: DataFrame, size: int, lower: bool) -> DataFrame:
+    """id, s: full sets of the documents with these ids, made again from whole texts."""
 
     def shingled(batches):
         for batch in batches:
@@ -144,16 +150,90 @@ def _exact(docs: DataFrame, pairs: DataFrame, size: int, lower: bool, threshold:
             cuts = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(flat))], names=["id", "s"])
 
-    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = table(ids.distinct(), "ids")
     small = ids.count() <= SENT_IDS
     wanted = docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    sets = table(wanted.select("id", "text").mapInArrow(shingled, "id long, s array<long>").groupBy("id").agg(F.max("s").alias("s")), "sets")
+    return table(wanted.select("id", "text").mapInArrow(shingled, "id long, s array<long>").groupBy("id").agg(F.max("s").alias("s")), "sets")
+
+
+def _exact(docs: DataFrame, pairs: DataFrame, size: int, lower: bool, threshold: float) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), size, lower)
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     share = round(threshold * 100)
     return met.withColumn("i", both).where(100 * F.col("i") >= share * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def _sift(rest: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """key, i, j, rep, c, own: classes of open bands that some class of another component may still be linked with."""
+    need = least_matches(threshold, miss)
+
+    def sift(key, group):
+        band = key[1].as_py()
+        group = group.combine_chunks()
+        rep, comp, own = (group[c].to_numpy() for c in ("rep", "c", "own"))
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(len(rep), BANDS * ROWS)
+        left, right = np.flatnonzero(own == key[2].as_py()), np.flatnonzero(own == key[3].as_py())
+        involved = np.zeros(len(rep), bool)
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
+            a, b = np.nonzero(comp[part][:, None] != comp[right][None, :])
+            a, b = part[a], right[b]
+            if key[2] == key[3]:
+                a, b = a[a < b], b[a < b]
+            for before in range(band):  # compared in an earlier band
+                own_values = slice(before * ROWS, (before + 1) * ROWS)
+                new = (sig[a, own_values] != sig[b, own_values]).any(axis=1)
+                a, b = a[new], b[new]
+            matches = np.zeros(len(a), np.int64)
+            for i, least in enumerate(need):
+                values = slice(i * BATCH, (i + 1) * BATCH)
+                matches += (sig[a, values] == sig[b, values]).sum(axis=1)
+                a, b, matches = a[matches >= least], b[matches >= least], matches[matches >= least]
+            involved[a] = involved[b] = True
+        keep = np.flatnonzero(involved)
+        return group.select(["key", "i", "j", "rep", "c", "own"]).take(pa.array(keep))
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).join(classes.select("rep", "sig"), "rep")
+    return placed.select("key", "band", "i", "j", "rep", "c", "own", "sig").groupBy("key", "band", "i", "j").applyInArrow(sift, "key long, i int, j int, rep long, c long, own int")
+
+
+def _exact_blocks(docs: DataFrame, sifted: DataFrame, size: int, lower: bool, threshold: float) -> DataFrame:
+    """(a, b): links between components, from exact intersections of all sets of a block pair."""
+    share = round(threshold * 100)
+
+    def meet(key, group):
+        group = group.combine_chunks()
+        rep, comp, own = (group[c].to_numpy() for c in ("rep", "c", "own"))
+        sets = group["s"].combine_chunks()
+        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+        n = np.diff(sets.offsets.to_numpy())
+        value, row = sets.flatten().to_numpy(), np.repeat(np.arange(len(rep)), n)
+        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        values, column, times = np.unique(value, return_inverse=True, return_counts=True)
+        use = times[column] > 1  # what one set alone holds is in no intersection
+        row, column = row[use], column[use]
+        both = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        _, column = np.unique(column, return_inverse=True)
+        width = int(column[-1]) + 1 if len(column) else 0
+        for at in range(0, width, 4096):
+            a, b = np.searchsorted(column, [at, at + 4096])
+            m = np.zeros((len(rep), min(4096, width - at)), np.float32)
+            m[row[a:b], column[a:b] - at] = 1
+            both += m[left] @ m[right].T
+        either = n[left][:, None] + n[right][None, :] - both
+        a, b = np.nonzero((100 * both >= share * either) & (comp[left][:, None] != comp[right][None, :]))
+        return pa.table({"a": rep[left[a]], "b": rep[right[b]]})
+
+    sets = _sets(docs, sifted.select(F.col("rep").alias("id")), size, lower).withColumnRenamed("id", "rep")
+    return sifted.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, miss: float = 1e-6, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; links hold where 100 * |both| >= 100 * threshold * |either|."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -167,15 +247,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, miss
     star = table(_likely(star, classes, threshold, miss), "likely")
     links = [table(_exact(rows, star, size, lower, threshold), "links")]
     groups = connected_components(links[0], "a", "b")
-    # what shares a band but not a component
-    known = full.select("key", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    open_keys = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    rest = table(known.join(open_keys, "key"), "rest")
-    x, y = (rest.select("key", F.col("rep").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
-    cross = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    cross = table(_likely(cross, classes, threshold, miss), "cross")
-    if cross.take(1):
-        links.append(table(_exact(rows, cross, size, lower, threshold), "more"))
+    # bands of more than three classes that hold several components
+    known = full.select("key", "band", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
+    open_keys = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 3").select("key", "n")
+    sifted = table(_sift(known.join(open_keys, "key"), classes, threshold, miss), "sifted")
+    if sifted.take(1):
+        links.append(table(_exact_blocks(rows, sifted, size, lower, threshold), "more"))
         groups = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     mine = able.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"]).select("id", "n", F.col("component").alias("component_id"))
