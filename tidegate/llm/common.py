@@ -100,7 +100,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def text_slices(column: pa.Array, most_bytes: int = 4 << 20):
+def text_slices(column: pa.Array, most_bytes: int = 1 << 20):
     """(first row, offsets, bytes) for runs of rows of about most_bytes; a longer text comes alone. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
