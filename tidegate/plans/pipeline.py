@@ -68,6 +68,20 @@ def with_threat(df: DataFrame, key: str, text: str, domain: str, config: Defense
     return df.join(text_threat(df, key, text, domain, config, scorer, out), key, "left")
 
 
+def with_gated_threat(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str, out: str) -> DataFrame:
+    """with_threat after the instruction gate: what only the model objects to and no cue supports is left out and the rest scored again."""
+    df = with_threat(df, key, text, domain, config, scorer, "_raw")
+    if not config.instruction_gate_domains or scorer not in detect.IN_ROW:
+        return df.withColumnRenamed("_raw", out)
+    df = df.withColumn("_segs", tx.viewed_segments(text, config.hard_split_chars, config.max_segments))
+    doubt = lambda s: (detect.SCORERS[scorer](s["text"]) >= config.instruction_gate_min_score) & (detect.signature_score(s["folded"], folded=True) <= config.segment_remove_above) & (F.size(detect.instruction_cues(s["folded"], normalise=False)) == 0)
+    df = df.withColumn("_parts", F.transform("_segs", lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), (~doubt(s)).alias("keep"))))
+    df = df.withColumns({"_left": F.exists("_parts", lambda s: ~s["keep"]), "_remainder": tx.reconstruct("_parts")})
+    df = with_threat(df, key, "_remainder", domain, config, scorer, "_gated")
+    gate = F.col(domain).isin(*config.instruction_gate_domains) & (F.col("_raw") >= config.min_accept_below) & F.col("_left")
+    return df.withColumn(out, F.when(gate, F.least("_raw", F.coalesce("_gated", F.lit(0.0)))).otherwise(F.col("_raw"))).drop("_raw", "_segs", "_parts", "_left", "_remainder", "_gated")
+
+
 def text_threat(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str = "keyword", out: str = "t") -> DataFrame:
     """key and the largest score over overlapping windows; for other domains the whole text; null without text.
 
@@ -115,13 +129,13 @@ def features(responses: DataFrame, config: DefenseConfig, trust_config: TrustCon
     full = cut(filter_content(base.where("not empty")), "filtered")  # keeps each step's expressions small
     full = full.withColumns({"_fd": tx.fold("detection_text"), "_fh": tx.fold("concealed_text")})
     full = full.withColumns({"pattern": detect.signature_score("_fd", folded=True), "hidden_pattern": detect.signature_score("_fh", folded=True)}).drop("_fd", "_fh")
-    full = with_threat(full, "seq", "detection_lines", "modality", config, scorer, "t")
+    full = with_gated_threat(full, "seq", "detection_lines", "modality", config, scorer, "t")
     full = with_threat(full, "seq", "concealed_text", "modality", config, scorer, "hidden_t")
     full = full.withColumn("concealed", (F.col("concealed_text") != "") & ((F.col("hidden_pattern") >= config.concealed_pattern_threshold) | (F.coalesce("hidden_t", F.lit(0.0)) >= config.concealed_model_threshold)))
     full = trust.with_assessment(full, trust_config, "x", "modality", "t", "visual_threat", F.col("alignment"), F.col("detection_text") != "")
     full = cut(with_sanitised(full, "seq", "delivery_text", "modality", config, scorer), "sanitised")
     full = full.withColumn("_rest", tx.detection_text(tx.unicode_report("sanitised")["delivery"]))
-    full = with_threat(full, "seq", "_rest", "modality", config, scorer, "t_post").withColumn("_fr", tx.fold("_rest"))
+    full = with_gated_threat(full, "seq", "_rest", "modality", config, scorer, "t_post").withColumn("_fr", tx.fold("_rest"))
     full = full.withColumn("p_post", detect.signature_score("_fr", folded=True)).drop("_fr")
     full = trust.with_assessment(full, trust_config, "y", "modality", "t_post", F.lit(None).cast("double"), F.col("alignment"), tx.strip(F.col("_rest")) != "")
     injection = F.greatest("t", "pattern", F.when(F.col("concealed_text") != "", F.col("hidden_t")), F.when(F.col("concealed_text") != "", F.col("hidden_pattern")))
