@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,25 +20,46 @@ def noisy_or(scores) -> Column:
     return 1 - F.aggregate(_c(scores), F.lit(1.0), lambda p, x: p * (1 - x))
 
 
+def _read_once(text, normalise: bool, folded: bool, body: Callable[[Callable[[str, str], Column], Column], Column]) -> Column:
+    """body(fires, text) over a text that is folded and lowered once; fires(id, pattern) looks for a signature's
+    anchors before its pattern, so most patterns never run."""
+    x = _c(text) if folded else fold(text, normalise)
+
+    def inside(t):
+        def fires(name: str, pattern: str) -> Column:
+            match = any_of(t["f"], f"(?i){pattern}")
+            anchors = fixed.ANCHORS.get(name, "").split()
+            return reduce(lambda a, b: a | b, [F.contains(t["l"], F.lit(w)) for w in anchors]) & match if anchors else match
+
+        return body(fires, t["f"])
+
+    return F.transform(F.array(F.struct(x.alias("f"), F.lower(x).alias("l"))), inside)[0]
+
+
 def signature_hits(text, signatures=fixed.SIGNATURES, normalise: bool = True, folded: bool = False) -> Column:
     """array of (id, category, severity, match): the first match of each signature that fires, in the folded text."""
-    folded = _c(text) if folded else fold(text, normalise)
-    found = [F.when(any_of(folded, f"(?i){p}"), F.struct(F.lit(i).alias("id"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.substring(F.regexp_extract(folded, f"(?i)({p})", 1), 1, 120).alias("match"))) for i, c, s, p, _ in signatures]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    def body(fires, t):
+        found = [F.when(fires(i, p), F.struct(F.lit(i).alias("id"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.substring(F.regexp_extract(t, f"(?i)({p})", 1), 1, 120).alias("match"))) for i, c, s, p, _ in signatures]
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    return _read_once(text, normalise, folded, body)
 
 
 def signature_score(text, signatures=fixed.SIGNATURES, normalise: bool = True, folded: bool = False) -> Column:
     """Noisy-or of the severities that fire; 0 if none does.  folded: the text has been folded."""
-    folded = _c(text) if folded else fold(text, normalise)
-    quiet = F.lit(1.0)
-    for _, _, severity, pattern, _ in signatures:
-        quiet = quiet * F.when(any_of(folded, f"(?i){pattern}"), F.lit(1.0) - F.lit(severity)).otherwise(1.0)
-    return 1 - quiet
 
+    def body(fires, _):
+        return 1 - reduce(lambda q, x: q * F.when(fires(x[0], x[3]), F.lit(1.0) - F.lit(x[2])).otherwise(1.0), signatures, F.lit(1.0))
+
+    return _read_once(text, normalise, folded, body)
+
+
+def signature_ids(text, signatures=fixed.SIGNATURES, normalise: bool = True, folded: bool = False) -> Column:
+    def body(fires, _):
+        return F.filter(F.array(*[F.when(fires(i, p), F.lit(i)) for i, _, _, p, _ in signatures]), lambda x: x.isNotNull())
 
-def signature_ids(text, signatures=fixed.SIGNATURES, normalise: bool = True) -> Column:
-    folded = fold(text, normalise)
-    return F.filter(F.array(*[F.when(any_of(folded, f"(?i){p}"), F.lit(i)) for i, _, _, p, _ in signatures]), lambda x: x.isNotNull())
+    return _read_once(text, normalise, folded, body)
 
 
 def categories(hits) -> Column:

@@ -42,6 +42,38 @@ SIGNATURES = [
     ("urgent.must_first", "agent_targeting", MEDIUM, r"\b(?:important|urgent|attention|alert|warning|notice)\b[\s!:.]{0,12}[^\n]{0,80}?\byou\s+must\s+(?:first\s+)?(?:go\s+to|visit|navigate|click|type|open|enter|follow|perform|do\s+the\s+following)", "urgent banner with a command"),
 ]
 
+#: For each signature, lower-case pieces of which every match holds at least one: cheap to look for before the pattern runs.
+ANCHORS = {
+    "override.ignore_previous": "ignore disregard forget override bypass neglect abandon discard",
+    "override.forget_everything": "forget",
+    "override.new_instructions": "instruction directive prompt objective",
+    "override.instead_of_task": "instead",
+    "override.do_not_follow": "follow obey listen comply",
+    "identity.you_are_now": "now longer",
+    "identity.mode_switch": "mode",
+    "identity.act_as": "dan anything unrestricted unfiltered jailbroken evil uncensored different",
+    "identity.from_now_on": "now",
+    "identity.special_mode": "mode",
+    "agent.addressed": "attention note message instruction reminder notice",
+    "agent.if_you_are": "you",
+    "agent.imperative": "ai a.i. llm assistant agent language chat bot gpt copilot",
+    "exfil.reveal_secret": "prompt hidden instruction api secret token credentials password private",
+    "exfil.send_user_data": ":// www. @",
+    "exfil.markdown_image": "![",
+    "exec.destructive": "-rf c: del mkfs :|:",
+    "exec.run_following": "command code script",
+    "role.bracket_system": "[",
+    "role.chat_template": "<| << inst]",
+    "role.xml_system": "<",
+    "role.markdown_header": "#",
+    "role.speaker_prefix": ":",
+    "deceive.hide_from_user": "user human operator",
+    "deceive.covert_action": "secretly silently quietly covertly discreetly",
+    "output.modify_response": "your",
+    "output.in_your_response": "your",
+    "urgent.must_first": "must",
+}
+
 # ---- fixed values: letters of other scripts and the Latin letters they look like
 LOOK_ALIKES = ("аеорсухіјѕԁɡһӏոսАВЕКМНОРСТХοαεινρτυΟΑΕΙΤ", "aeopcyxijsdghlnuABEKMHOPCTXoaeivptuOAEIT")
 INVISIBLE = "\\u00AD\\u180E\\u200B-\\u200F\\u2060-\\u2064\\uFEFF"
