@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Words kept in each of the memo's two generations.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 _SPACES = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the public word pattern of byte-level BPE, with white space spelled out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
