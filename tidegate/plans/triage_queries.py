@@ -430,7 +430,7 @@ def _(spark, d):
 @query("run02_fail_safe", "SELECT doc_id AS seq, 'REJECT' AS action, NULL::VARCHAR AS threat FROM documents WHERE doc_id % 10 = 0")
 def _(spark, d):
     null = lambda t: F.lit(None).cast(t)
-    s = load(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("seq"), F.lit("x").alias("session"), F.col("source").alias("key"), null("string").alias("domain"), F.lit("web").alias("modality"), null("string").alias("tool"), null("double").alias("risk"), F.lit(0.3).alias("accept"), F.lit(0.7).alias("reject"),
+    s = load(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.lit("x").alias("session"), F.col("source").alias("key"), null("string").alias("domain"), F.lit("web").alias("modality"), null("string").alias("tool"), null("double").alias("risk"), F.lit(0.3).alias("accept"), F.lit(0.7).alias("reject"),
         F.lit(False).alias("evidence"), null("double").alias("residual"), F.lit(1).alias("remaining"), F.lit(0).alias("removed"), F.lit(False).alias("empty"), F.lit(False).alias("ok"), null("string").alias("control"))
     return ad.decide_in_order(CFG, s).select("seq", "action", "threat")
 
