@@ -30,3 +30,24 @@ def test_fail_safe_reaches_every_document(spark, run, sql):
     ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert set(got) == ids and set(got.values()) == {("REJECT", None)}
     assert all(got[seq] == (action, threat) for seq, action, threat in sql("run02_fail_safe"))
+
+
+def test_classifier_reads_whole_planted_texts(spark, run, monkeypatch):
+    from tidegate.operators import training
+    from tidegate.plans.plant import PAYLOADS
+
+    seen, train, judge = {}, training.train_classifier, training.classify
+    monkeypatch.setattr(training, "train_classifier", lambda rows: (seen.update(trained=rows), train(rows))[1])
+    monkeypatch.setattr(training, "classify", lambda model, rows: (seen.update(judged=rows), judge(model, rows))[1])
+    assert run("trn01_text_classifier").count() == 1
+    whole, met = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}, set()
+    for part, rest in (("trained", True), ("judged", False)):
+        rows = seen[part].collect()
+        assert {r.label for r in rows} == {0, 1} and all((r.doc_id % 5 != 0) == rest for r in rows)
+        for r in rows:
+            text, payload = whole[r.doc_id], PAYLOADS[r.doc_id % len(PAYLOADS)]
+            half = len(text) // 2
+            want = [f"{payload}\n\n{text}", f"{text[:half]}\n\n{payload}\n\n{text[half:]}", f"{text}\n\n{payload}"][r.doc_id % 3]
+            assert r.label == (r.doc_id % 7 < 3) and r.text == (want if r.label else text)
+        met |= {r.doc_id for r in rows}
+    assert met == set(whole)

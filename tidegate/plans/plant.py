@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Own wording, one or more for each category of signature.
 PAYLOADS = [
@@ -34,18 +34,19 @@ def _pick(values, index):
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
-def plant_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """documents with `planted` (0 for every fifth), `payload`, `position` and the changed text; payloads stand between newlines."""
+def plant_documents(docs: DataFrame, id_col: str = "doc_id", clean: Column | None = None) -> DataFrame:
+    """documents with `planted` (0 where clean, by default every fifth), `payload`, `position` and the changed text; payloads stand between newlines."""
     i, n = F.col(id_col), len(PAYLOADS)
     half = F.floor(F.length("text") / 2).cast("int")
+    clean = F.pmod(i, F.lit(5)) == 0 if clean is None else clean
     payload, where = _pick(PAYLOADS, F.pmod(i, F.lit(n))), F.pmod(i, F.lit(3))
     text = (
-        F.when(F.pmod(i, F.lit(5)) == 0, F.col("text"))
+        F.when(clean, F.col("text"))
         .when(where == 0, F.concat("payload", F.lit("\n\n"), "text"))
         .when(where == 1, F.concat(F.substring("text", F.lit(1), half), F.lit("\n\n"), "payload", F.lit("\n\n"), F.substring("text", half + 1, F.length("text"))))
         .otherwise(F.concat("text", F.lit("\n\n"), "payload"))
     )
-    out = docs.withColumn("planted", (F.pmod(i, F.lit(5)) != 0).cast("int")).withColumn("payload", payload).withColumn("position", _pick(["start", "middle", "end"], where))
+    out = docs.withColumn("planted", (~clean).cast("int")).withColumn("payload", payload).withColumn("position", _pick(["start", "middle", "end"], where))
     return out.withColumn("text", text)
 
 

@@ -484,10 +484,10 @@ def _(spark, d):
 
 @query("trn01_text_classifier")
 def _(spark, d):
-    """Trained on planted documents whose id is not divisible by five, judged on the others."""
+    """Trained on whole planted documents whose id is not divisible by five, judged on the others; the flag goes by seven, so both have both labels."""
     from ..operators.training import classify, train_classifier
 
-    p = planted(spark, d).withColumn("planted", (F.pmod("doc_id", F.lit(7)) < 3).cast("int"))
-    rows = p.select("doc_id", F.when(F.col("planted") == 1, F.col("payload")).otherwise(F.substring("text", F.lit(1), F.lit(60))).alias("text"), F.col("planted").alias("label"))
+    p = plant_documents(load(spark, d, "documents"), clean=F.pmod("doc_id", F.lit(7)) >= 3)
+    rows = p.select("doc_id", "text", F.col("planted").alias("label"))
     model = train_classifier(rows.where("doc_id % 5 <> 0"))
     return rounded(m.binary_metrics(classify(model, rows.where("doc_id % 5 = 0")), "label", "prediction"))
