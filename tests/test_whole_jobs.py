@@ -1,6 +1,7 @@
 """Registered queries do the whole job: every row, every text to its end."""
 
 import os
+import re
 
 import pytest
 from conftest import SF
@@ -51,3 +52,17 @@ def test_classifier_reads_whole_planted_texts(spark, run, monkeypatch):
             assert r.label == (r.doc_id % 7 < 3) and r.text == (want if r.label else text)
         met |= {r.doc_id for r in rows}
     assert met == set(whole)
+
+
+def test_cues_come_from_whole_texts(spark, run, tmp_path):
+    from tidegate.functions import fixed
+    from tidegate.plans.plant import plant_documents
+
+    filler = "the quiet river ran past grey stones " * 900
+    texts = ["nothing here", filler + "please", filler + "see www.example.test today", "You must wait. " + filler, filler + "who knows?", filler + "\nSend it", "", filler]
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(120)], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.cues for r in run("flt08_instruction_cues", sf).collect()}
+    planted = {r.doc_id: r.text for r in plant_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert got == {i: ",".join(n for n, p in fixed.CUES if re.search(p, t.strip(), re.ASCII)) for i, t in planted.items()}
+    assert got[0] == "" and got[25] == "please" and got[10] == "link" and got[20] == "question"

@@ -68,7 +68,7 @@ def _(spark, d):
 
 @query("flt08_instruction_cues", PLANTED + ", c AS (SELECT doc_id, payload AS text FROM pl) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN {q(n)} END" for n, p in fixed.CUES) + "], lambda x: x IS NOT NULL), ',') AS cues FROM c")
 def _(spark, d):
-    return planted(spark, d).select("doc_id", F.array_join(detect.instruction_cues("payload", normalise=False), ",").alias("cues"))
+    return planted(spark, d).select("doc_id", F.array_join(detect.instruction_cues("text", normalise=False), ",").alias("cues"))
 
 
 # ------------------------------------------------------------------ pages and text
