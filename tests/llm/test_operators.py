@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,41 @@ def test_substrings(spark):
     assert rlz.dedup_substrings(docs(spark, [])).count() == 0
 
 
+def test_common_minimizers_are_dealt_by_window(spark, monkeypatch):
+    rng = random.Random(19)
+    shared = " ".join(f"p{i}" for i in range(20))
+    texts = [f"{rng.choice('abcd')} {rng.choice('abcd')} {shared} {rng.choice('abcd')} {rng.random()}" for _ in range(120)]
+    monkeypatch.setattr(rlz, "COMMON", 1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rlz.dedup_substrings(docs(spark, texts)).collect()}
+    assert got == brute_windows(texts)
+
+
+def test_factors_of_a_block():
+    """Greedy factors with boundary windows find what a comparison of all windows finds, also where hashes are no help."""
+    rng = random.Random(20)
+    for _ in range(60):
+        texts = sorted({" ".join(rng.choice("ab") for _ in range(rng.randint(4, 11))).encode() for _ in range(30)})
+        ids = np.array([rng.randrange(8) for _ in texts])
+        block = rlz.Block(texts, ids, 4)
+        want = block._by_words().tolist()
+        assert block.parse().tolist() == want
+        block._same = lambda *_: False
+        assert block.parse().tolist() == want
+
+
+def test_pieces_hold_every_window():
+    text = "a " * 300 + "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12 x13 x14 x15"
+    group = rlz.Group(pa.table({"id": pa.array([1, 2], pa.int64()), "text": [text, text + " more"]}), 13)
+    every = np.unique(group.minimizers(rlz.SEED))
+    for common in (0, 1):
+        got = group.pieces(rlz.SEED, every | np.uint64(common), 4)
+        assert got.run.sum() == len(group.start) == len(got.use) and got.run.max() == (1 if common else rlz.RUN)
+        texts = got.texts.to_pylist()
+        for c, n, at in zip(got.code, got.run, np.cumsum(got.run) - got.run, strict=True):
+            first = group.start[got.use[at]]
+            assert texts[c].split() == group.raw[group.begin[first] : group.begin[first + n + 12]].tobytes().split()
+
+
 # ------------------------------------------------------------------ 10
 def brute_lines(texts):
     strip = " \t\n\v\f\r"

@@ -78,8 +78,8 @@ def n_words(text) -> F.col:
 
 
 # --------------------------------------------------------------- words over Arrow buffers
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
@@ -125,7 +125,7 @@ def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False):
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     cuts = offsets[1:-1]
