@@ -1,7 +1,9 @@
 """Each operator against brute force on small tables, and on rows that are null, empty, repeated or tied."""
 
 import hashlib
+import json
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -380,6 +382,22 @@ def test_lines(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_of_very_many_lines(spark):
+    """Work grows with the lines, not with their square."""
+    text = "\n".join(f"l{i % 30_000}" for i in range(40_000))
+    rows = docs(spark, ["warm\nup\nnow", text, text])
+    linededup.dedup_lines(rows.limit(1)).collect()
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in linededup.dedup_lines(rows).select("doc_id", "n_lines", "n_removed").collect()}
+    assert got == {0: (3, 0), 1: (40_000, 10_000), 2: (40_000, 40_000)} and time.time() - began < 15
+
+
+def test_lines_keep_columns_that_clash(spark):
+    rows = docs(spark, ["a\nb\nc", "a\nb\nc\nd"]).withColumns({"gone": F.lit("g"), "id": F.lit("i"), "t": F.lit("t"), "n_lines": F.lit("old"), "h": F.lit(1)})
+    got = sorted(linededup.dedup_lines(rows).collect())
+    assert [(r.text, r.gone, r.id, r.t, r.h, r.n_lines, r.n_removed) for r in got] == [("a\nb\nc", "g", "i", "t", 1, 3, 0), ("d", "g", "i", "t", 1, 4, 3)]
+
+
 def test_components(spark):
     rng = random.Random(11)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
