@@ -156,6 +156,19 @@ def test_minhash_odd_rows(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_minhash_repeated_ids(spark):
+    """An id with two texts is linked with what either is near to; an id whose texts differ joins their classes."""
+    rng = random.Random(33)
+    a, z, y = (" ".join(f"{k}{rng.randrange(10_000)}" for _ in range(40)) for k in "azy")
+    rows = [(1, a), (1, z), (2, a + " m"), (3, z + " n"), (4, y), (5, y + " o"), (5, "w " + y), (6, "w " + y + " p"), (7, y[::-1]), (7, a + " q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("n", F.lit("clash"))
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 1)}
+    large = [(10 * i + j, f"{a} {i} {j}" if j else f"{z} {i}") for i in range(4) for j in range(6)] + [(0, a), (10, a)]
+    got = minhash.near_duplicates(spark.createDataFrame(large, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 def test_bayes_limits_keep_true_pairs():
     need = minhash.least_matches(0.8, 1e-6)
     rng = np.random.default_rng(0)

@@ -20,8 +20,11 @@ products of incidence matrices.  Only ids and the links that hold leave a block,
 so no link that could join two components is left out.
 
 Defined cases: null or wordless texts have an empty set and link with nothing;
-rows that share an id are one node; rows without an id link with nothing, their
-component is null and they are kept; an empty table gives an empty result.
+rows that share an id are one node, linked with what any of their texts is near
+to; rows without an id link with nothing, their component is null and they are
+kept; very long texts are read whole, a set's memory being that of its text;
+other columns are not carried on, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -55,6 +58,12 @@ def shingle_set(word: np.ndarray, size: int) -> np.ndarray:
     return np.unique(grams(word, min(size, len(word)))) if len(word) else np.zeros(0, np.uint64)
 
 
+def _print(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits by which equal sets are known."""
+    with np.errstate(over="ignore"):
+        return int(shingles.sum()), int((shingles * (shingles >> np.uint64(29) | np.uint64(1))).sum())
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """MinHash values; the set is read in pieces that stay in cache."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -91,8 +100,7 @@ def _sketches(docs: DataFrame, size: int, lower: bool) -> DataFrame:
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     s = shingle_set(word[a:b], size)
                     n.append(len(s))
-                    with np.errstate(over="ignore"):
-                        f.append((int(s.sum()), int((s * (s >> np.uint64(29) | np.uint64(1))).sum())))
+                    f.append(_print(s))
                     sigs.append(signature(s).tobytes() if len(s) else None)
             prints = np.array(f, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(sigs, pa.binary())], names=["id", "n", "f1", "f2", "sig"])
@@ -138,7 +146,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int, lower: bool) -> DataFrame:
-    """id, s: full sets of the documents with these ids, made again from whole texts."""
+    """id, s: full sets of the documents with these ids, made again from whole texts; a set for each different text of an id."""
 
     def shingled(batches):
         for batch in batches:
@@ -148,12 +156,14 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int, lower: bool) -> DataFrame:
                 sets += [shingle_set(word[a:b], size) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             cuts = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(flat))], names=["id", "s"])
+            prints = np.array([_print(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(cuts, pa.array(flat))], names=["id", "f1", "f2", "s"])
 
     ids = table(ids.distinct(), "ids")
     small = ids.count() <= SENT_IDS
     wanted = docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    return table(wanted.select("id", "text").mapInArrow(shingled, "id long, s array<long>").groupBy("id").agg(F.max("s").alias("s")), "sets")
+    made = wanted.select("id", "text").mapInArrow(shingled, "id long, f1 long, f2 long, s array<long>").where("size(s) > 0")
+    return table(made.groupBy("id", "f1", "f2").agg(F.first("s").alias("s")).select("id", "s"), "sets")
 
 
 def _exact(docs: DataFrame, pairs: DataFrame, size: int, lower: bool, threshold: float) -> DataFrame:
@@ -162,7 +172,7 @@ def _exact(docs: DataFrame, pairs: DataFrame, size: int, lower: bool, threshold:
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     share = round(threshold * 100)
-    return met.withColumn("i", both).where(100 * F.col("i") >= share * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
+    return met.withColumn("i", both).where(100 * F.col("i") >= share * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct()
 
 
 def _sift(rest: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -246,7 +256,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, miss
     star = full.select(F.col("lo").alias("a"), F.col("rep").alias("b")).unionByName(full.select(F.col("rep").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
     star = table(_likely(star, classes, threshold, miss), "likely")
     links = [table(_exact(rows, star, size, lower, threshold), "links")]
-    groups = connected_components(links[0], "a", "b")
+    # rows that share an id but not a class: their classes are one node
+    own = F.struct("n", "f1", "f2")
+    several = table(able.groupBy("id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi").select("id"), "several")
+    if several.take(1):
+        named = table(able.join(several, "id").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select("id", "rep").distinct(), "named")
+        links.append(named.join(named.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a < rep").select("a", F.col("rep").alias("b")))
+    groups = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
     # bands of more than three classes that hold several components
     known = full.select("key", "band", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
     open_keys = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 3").select("key", "n")
