@@ -43,8 +43,8 @@ from .graph import connected_components
 BANDS, ROWS = 32, 4
 #: Signature values compared at a time.
 BATCH = 16
-#: Classes of a block in large bands.
-BLOCK = 512
+#: Classes of a block in large bands, and shingles in all of a block's sets (about 32 MB).
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 #: Ids are sent to every executor only up to this many; beyond it they are joined by shuffle.
 SENT_IDS = 1_000_000
 
@@ -109,7 +109,7 @@ def _sketches(docs: DataFrame, size: int, lower: bool) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """rep, key, band for every band of every class."""
+    """rep, key, band and w, the shingles of its set, for every band of every class."""
 
     def cut(batches):
         for batch in batches:
@@ -121,9 +121,10 @@ def _bands(classes: DataFrame) -> DataFrame:
                     key = key ^ (key >> np.uint64(31))
             rep = np.repeat(batch.column(0).to_numpy(), BANDS)
             band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
-            yield pa.record_batch([pa.array(rep), pa.array(key.ravel().view(np.int64)), pa.array(band)], names=["rep", "key", "band"])
+            w = np.repeat(batch.column(2).to_numpy(), BANDS)
+            yield pa.record_batch([pa.array(rep), pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(w)], names=["rep", "key", "band", "w"])
 
-    return classes.select("rep", "sig").mapInArrow(cut, "rep long, key long, band int")
+    return classes.select("rep", "sig", "n").mapInArrow(cut, "rep long, key long, band int, w long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -205,7 +206,7 @@ def _sift(rest: DataFrame, classes: DataFrame, threshold: float, miss: float) ->
         keep = np.flatnonzero(involved)
         return group.select(["key", "i", "j", "rep", "c", "own"]).take(pa.array(keep))
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least("n", F.ceil(F.col("total") / BLOCK_SHINGLES))).cast("int")
     placed = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).join(classes.select("rep", "sig"), "rep")
     return placed.select("key", "band", "i", "j", "rep", "c", "own", "sig").groupBy("key", "band", "i", "j").applyInArrow(sift, "key long, i int, j int, rep long, c long, own int")
@@ -264,8 +265,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, miss
         links.append(named.join(named.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a < rep").select("a", F.col("rep").alias("b")))
     groups = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
     # bands of more than three classes that hold several components
-    known = full.select("key", "band", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
-    open_keys = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 3").select("key", "n")
+    known = full.select("key", "band", "rep", "w").join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "w", F.coalesce("component", "rep").alias("c"))
+    open_keys = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.sum("w").alias("total")).where("c0 < c1 and n > 3").select("key", "n", "total")
     sifted = table(_sift(known.join(open_keys, "key"), classes, threshold, miss), "sifted")
     if sifted.take(1):
         links.append(table(_exact_blocks(rows, sifted, size, lower, threshold), "more"))
