@@ -293,6 +293,37 @@ def test_chat(spark):
     assert got[3, 0].message == '{"content":null,"role":null}' and got[3, 1].message == '{"content":"{broken","role":"user"}' and len(got) == len(rows)
 
 
+CONV = "conv_id long, turn long, role string, text string"
+
+
+def test_chat_odd_rows(spark):
+    """Repeated and null turns, halves of surrogate pairs, constants that are no JSON, schemas of odd form, very long texts."""
+    call = lambda i, arguments="{}", needs="[]": f'{{"tool_calls":[{{"id":"{i}","name":"t","arguments":{arguments},"needs":{needs}}}]}}'
+    rows = [
+        (1, 1, "assistant", call("a")), (1, 1, "assistant", call("b", '{"x":-1}')), (1, None, "assistant", call("c", '{"x":-1}', '["b"]')), (1, 2, "assistant", call("c")), (1, 2, "assistant", call("c")),
+        (2, 0, "assistant", call("s", '{"y":"\\ud800"}')), (2, 1, "tool", '{"tool_call_id":"s","content":"\\udc00 x"}'), (2, 2, "assistant", call("n", '{"x":NaN}')), (2, 3, "assistant", call("i", '{"x":1e999}')), (2, 4, "assistant", call("d", "[" * 5000 + "]" * 5000)),
+        (2, 5, "assistant", call("long", '{"y":"' + "z" * 2_000_000 + '"}')), (2, 6, "assistant", call("self", "{}", '["self"]')),
+    ]
+    schema = {"t": {"type": "object", "properties": {"x": {"type": "number", "minimum": 0, "maximum": None}, "y": {"type": ["string", 5]}, "z": 3}, "required": None, "enum": 1, "items": []}}
+    got = chat.format_chat(spark.createDataFrame(rows, CONV), schema).collect()
+    assert len(got) == len(rows)
+    at = lambda c, t: sorted((r.n_calls, r.n_invalid, r.n_repeated, r.level) for r in got if (r.conv_id, r.turn) == (c, t))
+    assert at(1, 1) == [(1, 0, 0, 0), (1, 1, 0, 0)] and at(1, None) == [(1, 1, 1, 0)] and at(1, 2) == [(1, 0, 0, 0), (1, 0, 1, 0)]
+    said = {r.turn: r for r in got if r.conv_id == 2}
+    assert "\\\\ud800" in said[0].message and (said[0].n_answered, said[0].n_invalid) == (1, 0) and json.loads(said[1].message)["content"] == "\udc00 x"
+    assert said[2].n_calls == said[3].n_calls == 0 and json.loads(said[2].message)["content"] == rows[7][3]
+    assert said[5].n_calls == 1 and len(said[5].message) > 2_000_000 and said[6].level == -1
+    assert chat.format_chat(spark.createDataFrame([], CONV), schema).count() == 0
+
+
+def test_chat_levels(spark):
+    """A chain of calls, a call that needs two of it, a cycle and what hangs on it."""
+    needs = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(6)} | {"two": ["c1", "c5"], "x": ["y"], "y": ["x"], "z": ["x", "c0"], "gone": ["nobody"]}
+    rows = [(1, t, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "t", "needs": n}]})) for t, (i, n) in enumerate(needs.items())]
+    got = {r.turn: r.level for r in chat.format_chat(spark.createDataFrame(rows, CONV)).collect()}
+    assert list(got[t] for t in range(len(needs))) == [0, 1, 2, 3, 4, 5, 6, -1, -1, -1, -1]
+
+
 # ------------------------------------------------------------------ 9
 def brute_windows(texts, window=13):
     words = [(t or "").encode().split() for t in texts]

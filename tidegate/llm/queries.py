@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embdedup, langid, linededup, minhash, mixing, rlz, tokencount, topk
+from . import bpe, chat, embdedup, langid, linededup, minhash, mixing, plant, rlz, tokencount, topk
 from .common import load
 
 SQL: dict[str, str] = {}
@@ -109,13 +109,48 @@ TOOLS = {
 
 
 def op8_chat_format(spark, sf_dir):
-    return chat.format_chat(load(spark, sf_dir, "conversations"), TOOLS)
+    """All conversations, with tool calls planted into them by rule (they hold none)."""
+    return chat.format_chat(plant.plant_calls(load(spark, sf_dir, "conversations")), TOOLS)
 
 
 SQL["op8_chat_format"] = """
-SELECT conv_id, turn, role, turn AS order_turn, 0 AS level, 0::BIGINT AS n_calls, 0::BIGINT AS n_answered, 0::BIGINT AS n_invalid, 0::BIGINT AS n_repeated,
-  false AS orphan, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS message
-FROM conversations
+WITH RECURSIVE a AS (SELECT *, CASE WHEN role = 'assistant' THEN (7 * conv_id + turn) % 8 END AS kind FROM conversations),
+c(conv_id, turn, place, id, name, args, needs, bad) AS (
+  SELECT conv_id, turn, 0, 'c' || turn, 'search', '{"limit":2,"query":"w' || conv_id || '"}', []::VARCHAR[], false FROM a WHERE kind = 1
+  UNION ALL SELECT conv_id, turn, 0, 'c' || turn || 'b', 'search', '{"query":"x"}', ['c' || turn], false FROM a WHERE kind = 2
+  UNION ALL SELECT conv_id, turn, 1, 'c' || turn, 'calculate', '{"expression":"1+' || turn || '"}', [], false FROM a WHERE kind = 2
+  UNION ALL SELECT conv_id, turn, 0, 'c' || turn, 'search', '{"limit":0,"query":"w"}', [], true FROM a WHERE kind = 3
+  UNION ALL SELECT conv_id, turn, 0, 'c' || turn, 'search', '{"query":"w"}', ['c' || (turn - 2)], false FROM a WHERE kind = 4
+  UNION ALL SELECT conv_id, turn, 0, 'c' || turn, 'calculate', '{}', ['c' || turn || 'b'], true FROM a WHERE kind = 5
+  UNION ALL SELECT conv_id, turn, 1, 'c' || turn || 'b', 'calculate', '{"expression":"2"}', ['c' || turn], false FROM a WHERE kind = 5
+  UNION ALL SELECT conv_id, turn, 0, 'c1', 'search', '{"query":"w"}', [], false FROM a WHERE kind = 6
+  UNION ALL SELECT conv_id, turn, 0, 'c' || turn, 'paint', '{"colour":"red"}', list_distinct(['c' || (turn - 2), 'c1']), true FROM a WHERE kind = 7
+), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn, place) AS nth FROM c) WHERE nth = 1),
+walk(conv_id, id, at, depth) AS (
+  SELECT conv_id, id, id, 0 FROM f
+  UNION
+  SELECT w.conv_id, w.id, e.need, w.depth + 1 FROM walk w JOIN (SELECT conv_id, id, unnest(needs) AS need FROM f) e ON e.conv_id = w.conv_id AND e.id = w.at WHERE w.depth < 40
+), placed AS (
+  SELECT w.conv_id, w.id, CASE WHEN max(depth) >= 40 OR count(*) FILTER (f.id IS NULL) > 0 THEN -1 ELSE max(depth) END AS level
+  FROM walk w LEFT JOIN f ON f.conv_id = w.conv_id AND f.id = w.at GROUP BY ALL
+), r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 0 THEN 'zz' ELSE 'c' END || turn AS id FROM a WHERE kind <> 6 AND (conv_id + turn) % 3 <> 0
+), l AS (
+  SELECT c.*, p.level, f.turn = c.turn AND f.place = c.place AS mine, (c.conv_id, c.id) IN (SELECT (conv_id, id) FROM r) AS answered
+  FROM c JOIN f USING (conv_id, id) JOIN placed p ON p.conv_id = c.conv_id AND p.id = c.id
+), t AS (
+  SELECT conv_id, turn, count(*) AS n_calls, count(*) FILTER (mine AND answered) AS n_answered, count(*) FILTER (bad) AS n_invalid, count(*) FILTER (NOT mine) AS n_repeated,
+    CASE WHEN min(level) < 0 THEN -1 ELSE max(level) END AS level,
+    '[' || string_agg('{"function":{"arguments":' || to_json(args)::VARCHAR || ',"name":"' || name || '"},"id":"' || id || '","type":"function"}', ',' ORDER BY place) || ']' AS shown
+  FROM l GROUP BY conv_id, turn
+)
+SELECT a.conv_id, a.turn, a.role, a.turn AS order_turn, coalesce(t.level, 0)::INTEGER AS level, coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_answered, 0)::BIGINT AS n_answered,
+  coalesce(n_invalid, 0)::BIGINT AS n_invalid, coalesce(n_repeated, 0)::BIGINT AS n_repeated, false AS orphan,
+  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || coalesce(',"tool_calls":' || shown, '') || '}' AS message
+FROM a LEFT JOIN t ON t.conv_id = a.conv_id AND t.turn = a.turn AND a.role = 'assistant'
+UNION ALL
+SELECT r.conv_id, r.turn, 'tool', coalesce(f.turn, r.turn), coalesce(p.level, 0)::INTEGER, 0, 0, 0, 0, f.id IS NULL, '{"content":"r' || r.turn || '","role":"tool","tool_call_id":"' || r.id || '"}'
+FROM r LEFT JOIN f ON f.conv_id = r.conv_id AND f.id = r.id LEFT JOIN placed p ON p.conv_id = r.conv_id AND p.id = r.id
 """
 
 
