@@ -126,13 +126,13 @@ c(conv_id, turn, place, id, name, args, needs, bad) AS (
   UNION ALL SELECT conv_id, turn, 0, 'c1', 'search', '{"query":"w"}', [], false FROM a WHERE kind = 6
   UNION ALL SELECT conv_id, turn, 0, 'c' || turn, 'paint', '{"colour":"red"}', list_distinct(['c' || (turn - 2), 'c1']), true FROM a WHERE kind = 7
 ), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn, place) AS nth FROM c) WHERE nth = 1),
-walk(conv_id, id, at, depth) AS (
+walk(conv_id, id, cur, depth) AS (
   SELECT conv_id, id, id, 0 FROM f
   UNION
-  SELECT w.conv_id, w.id, e.need, w.depth + 1 FROM walk w JOIN (SELECT conv_id, id, unnest(needs) AS need FROM f) e ON e.conv_id = w.conv_id AND e.id = w.at WHERE w.depth < 40
+  SELECT w.conv_id, w.id, e.need, w.depth + 1 FROM walk w JOIN (SELECT conv_id, id, unnest(needs) AS need FROM f) e ON e.conv_id = w.conv_id AND e.id = w.cur WHERE w.depth < 40
 ), placed AS (
   SELECT w.conv_id, w.id, CASE WHEN max(depth) >= 40 OR count(*) FILTER (f.id IS NULL) > 0 THEN -1 ELSE max(depth) END AS level
-  FROM walk w LEFT JOIN f ON f.conv_id = w.conv_id AND f.id = w.at GROUP BY ALL
+  FROM walk w LEFT JOIN f ON f.conv_id = w.conv_id AND f.id = w.cur GROUP BY ALL
 ), r AS (
   SELECT conv_id, turn, CASE WHEN kind = 0 THEN 'zz' ELSE 'c' END || turn AS id FROM a WHERE kind <> 6 AND (conv_id + turn) % 3 <> 0
 ), l AS (
