@@ -13,13 +13,14 @@ Texts are cut into chunks and all chunks of a batch advance in lockstep, one
 character a step, by array lookups.  A chunk's state map sends an entry state to
 an end state and a count.  Between two characters that stand together in no piece
 every state behaves as the root, so a map is constant from the first such place
-on; maps are composed by a prefix scan (the nearest constant map before each
-chunk), and only the short heads before those places are then run from their
-entry states.  A chunk without such a place passes its state on.
+on.  Other chunks' maps are made for the entry states that can reach them.  Maps
+are composed by a parallel prefix scan in log rounds, and the heads before the
+constant places are then run from their entry states.
 
 Defined cases: null and empty texts have 0 tokens; an empty table gives an empty
-result; rows that repeat are counted each; characters outside the vocabulary
-count their UTF-8 bytes.
+result; rows that repeat are counted each; very long texts are read whole, also
+without any place where all is settled; characters outside the vocabulary count
+their UTF-8 bytes; other columns are not carried on, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .common import text_slices
 
 #: Characters in a chunk; columns of the dense table; states kept before the table is begun anew.
 CHUNK, WIDE, MOST_STATES = 1_024, 176, 200_000
+#: Characters from which a chunk's entry state is guessed, and guessed entry states of a chunk.
+GUESS, MOST_ENTRIES = 64, 64
 _BIAS = 32  # added to a transition's count, which is kept in 6 bits
 
 
@@ -166,6 +169,64 @@ class Transducer:
         back[order] = np.arange(len(order))
         return state[back], total[back]
 
+    def scan(self, classes: np.ndarray, start: np.ndarray, length: np.ndarray, opens: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry state, end state) of chunks in which no map is constant; opens: a chunk whose entry state is known, the others follow the one before.
+
+        A chunk's map holds the entry states that can reach it: the known one, one guessed from the characters before the
+        chunk, and what the map of the chunk before sends on; such a state is tried in all chunks, so that those of a text
+        that repeats itself are there after a few rounds.  All pairs (chunk, entry) found in a round are run at once.  Then maps are composed in
+        log2(n) rounds.  A chunk whose guesses reach MOST_ENTRIES takes no more of them, only the true one.
+        """
+        n = len(start)
+        guess = np.zeros(n, np.int64)
+        far = np.minimum(GUESS, start)
+        guess, _ = self.run(classes, start - far, far, guess)
+        maps: list[dict[int, int]] = [{} for _ in range(n)]
+        new = {(i, int(s)) for i, s in enumerate(np.where(opens, known, guess).tolist())}
+        true = np.where(opens, known, -1).tolist()  # entry states known to be the true ones
+        tried: set[int] = set()
+        while new:
+            pairs = np.array(sorted(new), np.int64)
+            out, _ = self.run(classes, start[pairs[:, 0]], length[pairs[:, 0]], pairs[:, 1])
+            for (i, s), o in zip(pairs.tolist(), out.tolist(), strict=True):
+                maps[i][s] = o
+            new = set()
+            for i, o in zip(pairs[:, 0].tolist(), out.tolist(), strict=True):
+                j = i + 1
+                if j < n and not opens[j] and o not in maps[j] and len(maps[j]) < MOST_ENTRIES:
+                    new.add((j, o))
+            for o in {o for _, o in new} - tried if len(tried) < MOST_ENTRIES else ():
+                tried.add(o)  # what one chunk sends on, others may: a text that repeats itself has few states
+                new.update((j, o) for j in range(n) if not opens[j] and o not in maps[j])
+            if not new:  # the true path, where guesses were given up
+                for j in range(1, n):
+                    if not opens[j] and true[j] < 0 and true[j - 1] >= 0:
+                        o = maps[j - 1][true[j - 1]]
+                        true[j] = o
+                        if o not in maps[j]:
+                            new.add((j, o))
+                            break
+        # composition: entries as numbers, maps as rows of a table that send a number to one of the next chunk
+        names = [sorted(m) for m in maps]
+        wide = max(map(len, names))
+        to = np.zeros((n, wide), np.int64)
+        for j in range(1, n):
+            if not opens[j]:
+                place = {s: k for k, s in enumerate(names[j])}
+                for k, s in enumerate(names[j - 1]):
+                    to[j, k] = place.get(maps[j - 1][s], 0)
+        fixed = opens.copy()
+        to[opens] = np.array([names[j].index(int(known[j])) for j in np.flatnonzero(opens)], np.int64)[:, None]
+        step = 1
+        while not fixed.all():  # to[j] sends an entry of chunk j - step to one of chunk j
+            back = np.maximum(np.arange(n) - step, 0)
+            joined = np.take_along_axis(to, to[back], axis=1)
+            to = np.where(fixed[:, None], to, joined)
+            fixed |= fixed[back]
+            step *= 2
+        enter = np.array([m[k] for m, k in zip(names, to[:, 0].tolist(), strict=True)], np.int64)
+        return enter, np.array([m[s] for m, s in zip(maps, enter.tolist(), strict=True)], np.int64)
+
     def count(self, offsets: np.ndarray, points: np.ndarray) -> np.ndarray:
         """Tokens of each text; text i is points[offsets[i]:offsets[i + 1]]."""
         if len(self.keys) > MOST_STATES:
@@ -187,17 +248,16 @@ class Transducer:
         state = np.where(first, self.begin, 0)
         state, tokens = self.run(classes, sync, end - sync, state)
         tokens[first] += self.begin_count
-        # scan: the entry state of a chunk is the end state of the one before, constant or passed on
-        ready = constant.copy()
-        heads = ~first
-        while heads.any():
-            go = np.flatnonzero(heads & np.concatenate(([True], ready[:-1])))
-            out, more = self.run(classes, start[go], sync[go] - start[go], state[go - 1])
-            tokens[go] += more
-            passed = ~constant[go]
-            state[go[passed]] = out[passed]
-            ready[go] = True
-            heads[go] = False
+        # scan: what enters a chunk is what leaves the one before
+        enter = np.concatenate(([0], state[:-1]))
+        through = np.flatnonzero(~constant)
+        if len(through):
+            before = constant[through - 1]
+            enter[through], state[through] = self.scan(classes, start[through], end[through] - start[through], before, np.where(before, enter[through], -1))
+            enter[1:] = state[:-1]
+        rest = np.flatnonzero(~first)
+        _, more = self.run(classes, start[rest], sync[rest] - start[rest], enter[rest])
+        tokens[rest] += more
         return np.bincount(text, tokens, len(size)).astype(np.int64)
 
 
