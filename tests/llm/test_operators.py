@@ -239,6 +239,36 @@ def test_chunk_maps_compose():
         tokencount.CHUNK = kept
 
 
+@pytest.mark.parametrize("entries", [64, 1])
+def test_unbroken_texts(entries, monkeypatch):
+    """No place at which all is settled: chunk maps for the states that recur, or, where guesses are given up, along the true path."""
+    scores = {c: -9.0 for c in "ab▁"} | {"a" * n: -float(n) for n in (2, 3, 5)} | {"ba": -1.5, "ab": -2.5, "▁a": -0.5, "aab": -3.5}
+    machine = tokencount.Transducer(scores)
+    rng = random.Random(61)
+    monkeypatch.setattr(tokencount, "CHUNK", 7)
+    monkeypatch.setattr(tokencount, "GUESS", 3)
+    monkeypatch.setattr(tokencount, "MOST_ENTRIES", entries)
+    for _ in range(60):
+        texts = [rng.choice(["a", "ab", "aab"]) * rng.randint(1, 40) + "".join(rng.choice("aab") for _ in range(rng.randint(0, 60))) for _ in range(3)]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        got = machine.count(*tokencount.code_points(np.cumsum([0, *map(len, texts)]), data)).tolist()
+        assert got == [len(machine.merge("▁" + t)) for t in texts]
+
+
+def test_long_unbroken_texts_are_quick():
+    P = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp, machine = sentencepiece.SentencePieceProcessor(model_file=path), tokencount.Transducer(tokencount.piece_scores(path))
+    for unit in ("a", "the", "=", "日本", "x7/"):
+        text = unit * (400_000 // len(unit))
+        data = np.frombuffer(text.encode(), np.uint8)
+        offsets, points = tokencount.code_points(np.array([0, len(data)]), data)
+        began = time.time()
+        assert machine.count(offsets, points)[0] == len(sp.encode(text)) and time.time() - began < 5
+
+
 def test_bpe(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

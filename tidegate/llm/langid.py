@@ -1,7 +1,8 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1.  An n-gram's vector binds (by
-product) its letters' vectors, each permuted (by rotation) by its place; a text's
+Every letter of every script has a random vector of +1 and -1, a function of its
+code point.  An n-gram's vector binds (by product) its letters' vectors, each
+permuted (by rotation) by its place; a text's
 vector bundles (sums) its n-grams' vectors, and a language's prototype bundles
 the unit vectors of all labelled texts.  The mean of all prototypes is taken from
 each, so that what languages share doesn't count.  A text gets the language whose
@@ -11,9 +12,13 @@ Texts are read whole.  Sums over n-grams are matrix products of n-gram counts
 with n-gram vectors, so they are exact and don't depend on how texts are cut.
 Prototypes are sums as well: each task sends one partial vector per language.
 
-Defined cases: `und` with score 0 for texts that are null or have no letter, and
-for every text where there is nothing to learn from; ties go to the language
-first by code point; rows without an id are predicted, never learned from.
+Defined cases: `und` with score 0 for texts that are null or have no letter
+(n_letters 0), and for every text where there is nothing to learn from; ties go to
+the language first by code point; rows without an id are predicted, never learned
+from; rows that repeat are learned from as often as they stand there; very long
+texts are read in pieces with the same result; columns named lang_pred, score,
+held_out and n_letters are replaced, all others stay as they are whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,26 +29,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import text_slices
+from .common import fresh, mix, text_slices
 from .tokencount import code_points
 
-#: Dimensions, letters of an n-gram, symbols (space, a-z, accented letters, the rest by remainder), and the most languages that may be learned.
-DIMS, GRAM, SYMBOLS, MOST_LANGUAGES = 1_024, 3, 64, 1_000
-#: Bytes of text handled at once, and n-grams in one matrix product.
-BYTES, BLOCK = 1 << 18, 4_096
-#: Letters besides a-z with symbols of their own.
-ACCENTED = "àâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
+#: Dimensions, letters of an n-gram, and the most languages that may be learned.
+DIMS, GRAM, MOST_LANGUAGES = 1_024, 3, 1_000
+#: Bytes of text handled at once, n-grams in one matrix product, and numbers of n-grams that are counted in a table.
+BYTES, BLOCK, DENSE = 1 << 18, 4_096, 1 << 22
 
 
-def symbol_table() -> np.ndarray:
-    """Symbol of every code point: 0 for what is not a letter."""
-    own = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" + ACCENTED, 1)}
-    out = np.zeros(0x110000, np.uint8)
+def letter_table() -> np.ndarray:
+    """The lower-case letter of every code point: 0 for what is not a letter."""
+    out = np.zeros(0x110000, np.int32)
     for point in range(0x110000):
         c = chr(point)
         if unicodedata.category(c)[0] == "L":
-            low = c.lower()[0]
-            out[point] = own.get(low) or 1 + ord(low) % (SYMBOLS - 1)
+            out[point] = ord(c.lower()[0])
     return out
 
 
@@ -51,44 +52,61 @@ class Profiles:
     """Letter vectors and what is made of them; the same in every process."""
 
     def __init__(self, seed: int = 5):
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMS))
-        self.placed = [np.roll(letters, GRAM - 1 - i, axis=1) for i in range(GRAM)]
-        self.symbols = symbol_table()
+        self.seed, self.letters = np.uint64(seed), letter_table()
 
-    def gram_vectors(self, grams: np.ndarray) -> np.ndarray:
+    def letter_vectors(self, points: np.ndarray) -> np.ndarray:
+        """A vector for each code point, from 64-bit hashes of seed, letter and place; the space between words has one as well."""
+        with np.errstate(over="ignore"):
+            at = (points.astype(np.uint64) << np.uint64(8))[:, None] + np.arange(DIMS // 64, dtype=np.uint64)[None, :]
+            bits = np.unpackbits(mix(at * np.uint64(0x9E3779B97F4A7C15) + self.seed).astype("<u8").view(np.uint8), axis=1)
+        return (2 * bits.astype(np.int8)) - 1
+
+    def gram_vectors(self, letters: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Vectors of n-grams given as numbers over these letters."""
         out = np.ones((len(grams), DIMS), np.int8)
         for i in range(GRAM):
-            out *= self.placed[i][grams // SYMBOLS ** (GRAM - 1 - i) % SYMBOLS]
+            placed = np.roll(letters, GRAM - 1 - i, axis=1)
+            out *= placed[grams // len(letters) ** (GRAM - 1 - i) % len(letters)]
         return out.astype(np.float32)
 
     def bundle(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vectors, letters) of texts given as UTF-8."""
         bounds, points = code_points(offsets, data)
         n = len(bounds) - 1
-        symbol = self.symbols[points]
+        symbol = self.letters[points]
         text = np.repeat(np.arange(n), np.diff(bounds))
         letters = np.bincount(text, symbol > 0, n).astype(np.int64)
         # one space stands for each run of what is not a letter; none is left at a text's end
         keep = np.ones(len(symbol), bool)
         keep[1:] = (symbol[1:] > 0) | (symbol[:-1] > 0)
         keep &= (symbol > 0) | np.append(symbol[1:] > 0, False)
-        symbol, text = symbol[keep].astype(np.int64), text[keep]
+        symbol, text = symbol[keep], text[keep]
         m = len(symbol) - GRAM + 1
         out = np.zeros((n, DIMS), np.float32)
         if m <= 0:
             return out, letters
-        gram = sum(symbol[i : m + i] * SYMBOLS ** (GRAM - 1 - i) for i in range(GRAM))
+        # letters of these texts by number
+        number = np.zeros(int(symbol.max()) + 1, np.int64)
+        number[symbol] = 1
+        there = np.flatnonzero(number)
+        number[there] = np.arange(len(there))
+        symbol, k = number[symbol], len(there)
+        vectors = self.letter_vectors(there)
+        gram = sum(symbol[i : m + i] * k ** (GRAM - 1 - i) for i in range(GRAM))
         whole = text[:m] == text[GRAM - 1 :]
         gram, text = gram[whole], text[:m][whole]
-        there = np.flatnonzero(np.bincount(gram, minlength=1))
-        place = np.zeros(SYMBOLS**GRAM, np.int64)
-        place[there] = np.arange(len(there))
-        gram = place[gram]
-        for at in range(0, len(there), BLOCK):
-            part = there[at : at + BLOCK]
+        if k**GRAM <= DENSE:
+            met = np.flatnonzero(np.bincount(gram, minlength=1))
+            place = np.zeros(k**GRAM, np.int64)
+            place[met] = np.arange(len(met))
+            gram = place[gram]
+        else:
+            met, gram = np.unique(gram, return_inverse=True)
+        for at in range(0, len(met), BLOCK):
+            part = met[at : at + BLOCK]
             mine = (gram >= at) & (gram < at + len(part))
             counts = np.bincount(text[mine] * len(part) + gram[mine] - at, minlength=n * len(part)).reshape(n, len(part))
-            out += counts.astype(np.float32) @ self.gram_vectors(part)
+            out += counts.astype(np.float32) @ self.gram_vectors(vectors, part)
         return out, letters
 
     def units(self, column: pa.Array):
@@ -167,7 +185,7 @@ def held_out(doc_id):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with held_out, lang_pred and score (the cosine, at least 0), learned from the rows not held out."""
+    """docs with held_out, lang_pred, score (the cosine, at least 0) and n_letters, learned from the rows not held out."""
     text, lang = F.col(text_col), F.col(lang_col)
     labelled = docs.where(text.isNotNull() & lang.isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(text.alias("text"), lang.cast("string").alias("lang"))
     names, prototypes = learn(labelled)
@@ -177,21 +195,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         own = profiles()
         names, prototypes = sent.value
         for batch in batches:
-            best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            found = np.zeros(batch.num_rows, bool)
+            best, score, seen = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for at, units, letters in own.units(batch.column(0)):
                 rows = slice(at, at + len(units))
+                seen[rows] = letters
                 if len(names):
                     cosine = units @ prototypes.T
                     best[rows], score[rows] = cosine.argmax(axis=1), np.clip(cosine.max(axis=1), 0, 1)
-                    found[rows] = letters > 0
+            found = (seen > 0) & (len(names) > 0)
             labels = np.array([*names, "und"], object)[np.where(found, best, len(names))]
             cols = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.record_batch([*cols, pa.array(labels, pa.string()), pa.array(np.where(found, score, 0.0))], names=[*batch.schema.names, "lang_pred", "score"])
-
-    rows = docs.select(text.alias("_text"), *[F.col(c) for c in docs.columns if c != text_col])
-    clash = [c for c in ("lang_pred", "score", "held_out") if c in rows.columns]
-    rows = rows.drop(*clash)
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = rows.mapInArrow(predict, schema).withColumnRenamed("_text", text_col)
-    return out.withColumn("held_out", held_out(F.col(id_col)))
+            yield pa.record_batch([*cols, pa.array(labels, pa.string()), pa.array(np.where(found, score, 0.0)), pa.array(seen)], names=[*batch.schema.names, "lang_pred", "score", "n_letters"])
+
+    own_text = fresh(docs, "text")
+    others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "held_out", "n_letters")]
+    rows = docs.select(text.alias(own_text), *others)
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_letters", T.LongType())])
+    return rows.mapInArrow(predict, schema).withColumnRenamed(own_text, text_col).withColumn("held_out", held_out(F.col(id_col)))
