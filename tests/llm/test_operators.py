@@ -504,3 +504,26 @@ def test_pipeline(spark, tmp_path):
     for _, stage in cp.STAGES:
         rest = stage(spark, rest, str(tmp_path))
     assert rest.count() >= 1
+
+
+def test_pipeline_keeps_what_it_should(spark, tmp_path):
+    """Null languages, names that clash, different texts under one id, very long texts."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(44)
+    texts = sentences(rng, 40)
+    rows = [(i, t, None, "s", "g", 1, "p", 0.1, True, "t", 7) for i, t in enumerate(texts)]
+    rows += [(3, texts[3] + " and a tail", None, "s", "g", 1, "p", 0.1, True, "t", 7), (3, "quite another text of its own", None, "s", "g", 1, "p", 0.1, True, "t", 7), (50, "x y z " * 300_000, None, "s", "g", 1, "p", 0.1, True, "t", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, gone string, n_removed int, lang_pred string, score double, kept boolean, rest string, id int")
+    told = cp.language_id(spark, df, "")
+    assert told.columns == df.columns and sorted(told.collect()) == sorted(df.collect())
+    lined = cp.line_dedup(spark, df, "")
+    assert sorted(lined.collect()) == sorted(df.collect())
+    kept = cp.minhash_dedup(spark, df, "")
+    assert kept.columns == df.columns and kept.count() == 42 and {r.text for r in kept.where("doc_id = 3").collect()} in ({texts[3], rows[41][1]}, {rows[40][1], rows[41][1]})
+    mixed = cp.mix_sources(spark, kept, "")
+    assert mixed.columns == df.columns and mixed.count() > 0
+    named = df.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en"))
+    assert {r.lang for r in cp.language_id(spark, named, "").collect()} == {"en"}
+    last = cp.bpe_encode(spark, mixed.withColumn("ids", F.lit("clash")), "").where("doc_id <> 50")
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.decoded_sha256 for r in last.collect())

@@ -9,18 +9,21 @@ in a seeded order until it is used up; the document in which it ends is taken in
 part, so that a source's words come to its target to within a word.
 
 Defined cases: null or empty texts have size 0 and are taken 0 times as words; a
-null source is a source of its own, the last; an empty table gives an empty
-result; repeated doc_ids are documents of their own, ordered by size.
+null source is a source of its own, the last; very long texts are counted whole
+and taken like others; an empty table gives an empty result; repeated doc_ids are
+documents of their own, ordered by size, and each comes as often as the most
+taken of them; other columns stay as they are in expand_mix whatever their names
+(one named like `copies` too), and aren't carried on by mix_sources.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import n_words, table
+from .common import fresh, n_words, table
 
-#: Places of the seeded order into which a source's documents are summed first.
-CELLS = 65_536
+#: Places of the seeded order into which a source's documents are summed first, and how many of them are summed in one row.
+CELLS, ROW = 65_536, 256
 
 
 def _lot(doc, seed: int):
@@ -79,10 +82,13 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: i
         "plan",
     )
     keyed = sized.withColumn("k", F.coalesce(F.col("source"), F.lit(""))).withColumn("nil", F.col("source").isNull()).withColumn("cell", F.floor(F.col("lot") / (2**32 // CELLS)).cast("int"))
-    # how many words lie before each cell of a source: at most CELLS rows to a source
-    cells = keyed.groupBy("k", "nil", "cell").agg(F.sum("size").alias("in_cell"))
-    running = Window.partitionBy("k", "nil").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("in_cell").over(running), F.lit(0))).join(plan, ["k", "nil"])
+    # how many words lie before each cell of a source: those of earlier rows of cells, and those of earlier cells of its row
+    cells = keyed.groupBy("k", "nil", "cell").agg(F.sum("size").alias("in_cell")).withColumn("row", F.floor(F.col("cell") / ROW).cast("int"))
+    lines = cells.groupBy("k", "nil", "row").agg(F.sum("in_cell").alias("in_row"))
+    earlier = lambda key, order, n: F.coalesce(F.sum(n).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.select("k", "nil", "row", earlier(["k", "nil"], "row", "in_row").alias("above"))
+    cells = cells.withColumn("before", earlier(["k", "nil", "row"], "cell", "in_cell")).join(lines, ["k", "nil", "row"]).join(plan, ["k", "nil"])
+    cells = cells.withColumn("before", F.col("before") + F.col("above")).drop("row", "above")
     cells = table(cells.withColumn("cut", (F.col("before") < F.col("need")) & (F.col("before") + F.col("in_cell") > F.col("need"))), "cells")
     met = keyed.join(cells, ["k", "nil", "cell"])
     inside = Window.partitionBy("k", "nil", "cell").orderBy("lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,6 +108,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: i
 
 def expand_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents themselves, each as often as plan's `copies` says (rows of one id: the largest); one of no copies goes."""
-    times = plan.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_n")).where("_mix_n > 0")
-    met = docs.join(times, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return met.withColumn("_mix_r", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_id", "_mix_n", "_mix_r")
+    i, n, r = (fresh(docs, name) for name in ("mix_id", "mix_n", "mix_r"))
+    times = plan.groupBy(F.col("doc_id").alias(i)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
+    met = docs.join(times, F.col(id_col).eqNullSafe(F.col(i)))
+    return met.withColumn(r, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(i, n, r)
