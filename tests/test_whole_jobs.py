@@ -116,12 +116,12 @@ def test_text_queries_read_whole_texts(spark, run, tmp_path):
         return sha(unicodedata.normalize("NFKC", x).replace("​", "").translate(str.maketrans(*fixed.LOOK_ALIKES)))
 
     by_rule("txt10_folding", ["t"], fold)
-    by_rule("txt14_separators", ["strength"], lambda i, t, _: "".join(str(tx._strong(sep)) for _, sep in tx.segment(t)))
+    by_rule("txt14_separators", ["strength"], lambda i, t, _: "".join(str(tx.strength(sep)) for _, sep in tx.segment(t)))
 
     def rebuilt(i, t, _):
         out, best = None, ""
         for n, (piece, sep) in enumerate(tx.segment(t)):
-            best = sep if out is not None and (best is None or tx._strong(sep) > tx._strong(best)) else best
+            best = sep if out is not None and (best is None or tx.strength(sep) > tx.strength(best)) else best
             if (n + i) % 3 != 1:
                 out, best = piece if out is None else out + best + piece, None
         return sha(out or "")

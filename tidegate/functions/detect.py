@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -110,32 +109,45 @@ def score_distinct(df: DataFrame, text_col: str, out_col: str, scorer: str = "ke
 
 # ------------------------------------------------------------------ embeddings
 EMBED_DIMS = 2048
-_WORD = re.compile(r"[a-z0-9]+")
-_STOP = frozenset(fixed.STOP_WORDS)
+_TOKENS = r"[a-z0-9]+"
 
 
-def _features(text: str):
-    for word in _WORD.findall(text.lower()):
-        if word not in _STOP:
-            yield "w:" + word, 1.0
-            framed = f"#{word}#"
-            for i in range(len(framed) - 3):
-                yield "c:" + framed[i : i + 4], 0.5
+@lru_cache(200_000)
+def _slots(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of what a word adds: itself, and its pieces of four letters with # at either end."""
+    if word in fixed.STOP_WORDS:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    pieces = [f"#{word}#"[i : i + 4] for i in range(len(word) - 1)]
+    names = [f"w:{word}", *map("c:{}".format, pieces)]
+    hashes = np.frombuffer(b"".join(hashlib.blake2b(n.encode(), digest_size=8).digest() for n in names), ">u8").astype(np.uint64)
+    return hashes, np.array([1.0] + [0.5] * len(pieces))
 
 
-def lexical_vector(text: str | None, dims: int = EMBED_DIMS) -> np.ndarray:
-    """Signed feature hashing of words and four-letter pieces, to length 1."""
-    out = np.zeros(dims, np.float32)
-    for name, weight in _features(text or ""):
-        h = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big")
-        out[h % dims] += weight if h >> 63 else -weight
-    size = np.linalg.norm(out)
-    return out / size if size else out
+def lexical_vectors(texts: pd.Series, dims: int = EMBED_DIMS) -> np.ndarray:
+    """Signed feature hashing of words and four-letter pieces, a row of length 1 for each text (zero without words).
+
+    The words of a batch are one column, and each different one is hashed once.
+    """
+    words = texts.reset_index(drop=True).fillna("").str.lower().str.findall(_TOKENS).explode().dropna()
+    text = words.index.to_numpy()
+    code, names = pd.factorize(words)
+    made = [_slots(w) for w in names]
+    size = np.array([len(h) for h, _ in made], np.int64)
+    start = np.cumsum(size) - size
+    hashes = np.concatenate([h for h, _ in made] or [np.zeros(0, np.uint64)])
+    signed = np.concatenate([w for _, w in made] or [np.zeros(0)]) * np.where(hashes >> np.uint64(63), 1.0, -1.0)
+    slot = (hashes % np.uint64(dims)).astype(np.int64)
+    times = size[code]
+    feature = np.repeat(start[code] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+    out = np.bincount(np.repeat(text, times) * dims + slot[feature], signed[feature], len(texts) * dims).reshape(len(texts), dims).astype(np.float32)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, length, out=out, where=length > 0)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def lexical_embedding(text: pd.Series) -> pd.Series:
-    return text.map(lexical_vector)
+    parts = [lexical_vectors(text.iloc[at : at + 512]) for at in range(0, len(text), 512)]
+    return pd.Series([row for part in parts for row in part])
 
 
 EMBEDDERS: dict[str, Callable[..., Column]] = {"lexical": lexical_embedding}

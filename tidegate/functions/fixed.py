@@ -110,6 +110,8 @@ CUES = [
 NON_CONTENT_TAGS = "script style noscript template head svg canvas object embed iframe".split()
 VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
 BLOCK_TAGS = "p div br li ul ol tr td th table section article header footer nav aside main h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption form fieldset dl dt dd hr title label button option summary details address".split()
+#: Hidden elements whose text isn't reported.
+SILENT_TAGS = "script style head svg canvas object embed iframe".split()
 HIDING_CLASSES = "hidden d-none invisible visually-hidden sr-only screen-reader-text is-hidden hide display-none offscreen".split()
 HIDING_STYLES = [
     ("display:none", r"(?i)display\s*:\s*none"),
@@ -143,3 +145,12 @@ STOP_WORDS = "a an and are as at be but by for from has have how i in is it its
 
 # ---- fixed values: prefixes of standard texts
 PDF_INTENT, PDF_CONTENT, WEB_CONTENT, IMAGE_CONTENT = "User intent:", "Document content:", "Web content:", "Image content:"
+
+# ---- fixed values: encoded payloads (a run of base64 of 24 characters or more, and what its text must be to count)
+BASE64_RUN = r"(?<![A-Za-z0-9+/=])((?:[A-Za-z0-9+/]{4}){6,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?)(?![A-Za-z0-9+/=])"
+READABLE_LENGTH, READABLE_PRINTABLE, READABLE_LETTERS = 12, 0.95, 0.5
+
+# ---- fixed values: ends and beginnings of sentences, list markers, blank lines
+SENTENCE_STOPS, SENTENCE_CLOSERS, SENTENCE_OPENERS = ".!?", "\"')]", "\"'([ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789#*>•-"
+LIST_MARKER = r"(?:\d{1,3}|[A-Za-z]{1,3}|[ivxIVX]{1,4})[.)]"
+BLANK_LINE = r"\n[ \t]*\n"
