@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LEVELS, DefenseConfig
 from .text import _c
@@ -46,6 +46,13 @@ def effective_thresholds(config: DefenseConfig, accept, reject, level) -> Column
     return F.struct(a.alias("accept_below"), r.alias("reject_at_or_above"))
 
 
+def with_blocked(df: DataFrame, blocklist: DataFrame, key: str, out: str) -> DataFrame:
+    """df with R1 where its host is on a blocklist that is a table of any size."""
+    listed = blocklist.select(F.col(key).alias("_listed")).where("_listed is not null").distinct()
+    met = df.join(listed, F.lower(key) == F.lower("_listed"), "left")
+    return met.withColumn(out, F.when(F.col("_listed").isNotNull(), "R1")).drop("_listed")
+
+
 def pre_check(config: DefenseConfig, domain, quarantined) -> Column:
     """R1 or R2 where a response is turned away before any detector runs, else null."""
     listed = F.lower(_c(domain)).isin(*config.blocklist) if config.blocklist else F.lit(False)

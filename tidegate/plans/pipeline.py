@@ -87,16 +87,18 @@ def text_threat(df: DataFrame, key: str, text: str, domain: str, config: Defense
 
     Equal windows are scored once.
     """
+    if scorer in detect.IN_ROW:
+        return with_threat(df, key, text, domain, config, scorer, out).where(F.col(out).isNotNull()).select(key, out)
     flat = tx.flatten(text)
     rows = df.where(flat != "").select(key, F.explode(_windows(flat, domain, config)).alias("_w"))
     return detect.score_distinct(rows, "_w", "_s", scorer).groupBy(key).agg(F.max("_s").alias(out))
 
 
 def with_sanitised(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str) -> DataFrame:
-    """df with sanitised, n_removed, n_flagged; column scorers run inside the row."""
+    """df with sanitised, n_segments, n_removed, n_flagged; column scorers run inside the row."""
     if scorer not in detect.IN_ROW or config.instruction_gate_domains:
         df = cut(df, "segments")
-        return df.join(sanitise(df, key, text, domain, config, scorer), key, "left").drop("n_segments")
+        return df.join(sanitise(df, key, text, domain, config, scorer), key, "left")
     use_model = tx._c(domain).isin(*config.segment_model_domains)
     df = df.withColumn("_segs", tx.viewed_segments(text, config.hard_split_chars, config.max_segments)).withColumn("_use", use_model)
     score = lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), detect.signature_score(s["folded"], folded=True).alias("p"), F.when(F.col("_use"), detect.SCORERS[scorer](s["view"])).alias("m"))
@@ -104,11 +106,13 @@ def with_sanitised(df: DataFrame, key: str, text: str, domain: str, config: Defe
     df = df.withColumn("_judged", F.transform("_scored", lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), policy.verdict(config, s["m"], s["p"]).alias("v"))))
     count = lambda v: F.size(F.filter("_judged", lambda s: s["v"] == v))
     kept = F.transform("_judged", lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), (s["v"] != "removed").alias("keep")))
-    return df.withColumns({"sanitised": tx.reconstruct(kept), "n_removed": count("removed"), "n_flagged": count("flagged")}).drop("_segs", "_use", "_scored", "_judged")
+    return df.withColumns({"sanitised": tx.reconstruct(kept), "n_removed": count("removed"), "n_flagged": count("flagged"), "n_segments": F.size("_segs")}).drop("_segs", "_use", "_scored", "_judged")
 
 
 def sanitise(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str = "keyword") -> DataFrame:
-    """key, sanitised, n_segments, n_removed, n_flagged.  Segments are rows while they are scored, one array while they are joined."""
+    """key, sanitised, n_segments, n_removed, n_flagged.  For scorers that are no columns segments are rows while they are scored, one array while they are joined."""
+    if scorer in detect.IN_ROW and not config.instruction_gate_domains:
+        return with_sanitised(df, key, text, domain, config, scorer).select(key, "sanitised", "n_segments", "n_removed", "n_flagged")
     parts = df.select(key, domain, F.posexplode(tx.segments(text, config.hard_split_chars, config.max_segments)).alias("pos", "seg"))
     view = tx.decode_inline(tx.detection_text(tx.unicode_report("seg.text")["delivery"]))
     parts = parts.withColumn("_view", view).withColumn("_pattern", detect.signature_score("_view"))

@@ -31,6 +31,17 @@ SIG = PLANTED + f", sg AS (SELECT doc_id, planted, text, list_filter({HITS}, lam
 KEYWORD = "CASE WHEN regexp_matches(lower(text), 'ignore all previous instructions|reveal your system prompt|exfiltrate|you are now') THEN 0.97::DOUBLE WHEN regexp_matches(lower(text), 'instructions|override') THEN 0.55::DOUBLE ELSE 0.03::DOUBLE END"
 
 
+#: Planted texts as the other engine disguises and encodes them.
+Z, RLO, TAGS = "chr(8203)", "chr(8238)", "chr(917608) || chr(917609)"
+DISGUISED = PLANTED + f", ds AS (SELECT doc_id, text AS plain, repeat({RLO}, (doc_id % 3)::INTEGER) || replace(text, 'e', 'e' || repeat({Z}, (doc_id % 4)::INTEGER)) || CASE WHEN doc_id % 2 = 1 THEN {TAGS} ELSE '' END AS text FROM pl)"
+UNSEEN = r"[\x{00AD}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
+FOLDED = f"translate(regexp_replace(text, '{UNSEEN}', '', 'g'), {q(fixed.LOOK_ALIKES[0])}, {q(fixed.LOOK_ALIKES[1])})"
+#: Base64 runs of 24 characters or more that decode to text for people to read; what parts them is doubled, as no look-around is at hand.
+RUNS = r"""list_filter(list_transform(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9+/=])', '\1\1', 'g'), '(?:^|[^A-Za-z0-9+/=])((?:[A-Za-z0-9+/]{4}){6,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?)(?:$|[^A-Za-z0-9+/=])', 1), lambda x: TRY(decode(from_base64(x)))),
+  lambda x: x IS NOT NULL AND length(x) >= 12 AND contains(x, ' ') AND len(regexp_extract_all(x, '\pL')) >= 0.5 * length(x) AND len(regexp_extract_all(x, '[\pL\pM\pN\pP\pS \n\t]')) >= 0.95 * length(x))"""
+ENCODED = PLANTED + ", en AS (SELECT doc_id, planted, payload, text AS plain, replace(text, payload, to_base64(encode(payload))) AS text FROM pl)"
+
+
 def planted(spark, d):
     return plant_documents(load(spark, d, "documents"))
 
@@ -58,7 +69,9 @@ def _(spark, d):
 
 @query("txt11_signature_scan", SIG + " SELECT doc_id, array_to_string(ids, ',') AS ids, round(score, 6) AS score FROM sg")
 def _(spark, d):
-    return rounded(planted(spark, d).select("doc_id", F.array_join(detect.signature_ids("text", normalise=False), ",").alias("ids"), detect.signature_score("text", normalise=False).alias("score")))
+    found = planted(spark, d).select("doc_id", detect.signatures_found("text", normalise=False).alias("f"))
+    ids, severities = F.transform("f", lambda x: x["id"]), F.transform("f", lambda x: x["severity"])
+    return rounded(found.select("doc_id", F.array_join(ids, ",").alias("ids"), detect.noisy_or(severities).alias("score")))
 
 
 @query("txt11_signature_table", "SELECT unnest([" + ", ".join(f"{{'id': {q(i)}, 'category': {q(c)}, 'severity': {s}::DOUBLE, 'description': {q(x)}}}" for i, c, s, _, x in fixed.SIGNATURES) + "], recursive := true)")
@@ -79,7 +92,7 @@ def _(spark, d):
     return s.agg(n("planted = 1 and s >= 0.7").alias("signature_tp"), n("planted = 0 and s >= 0.7").alias("signature_fp"), n("planted = 1 and t >= 0.5").alias("model_tp"), n("planted = 1 and s >= 0.7 and t < 0.5").alias("signature_only"), n("planted = 1 and greatest(s, t) >= 0.5").alias("either_tp"))
 
 
-@query("flt08_instruction_cues", PLANTED + ", c AS (SELECT doc_id, payload AS text FROM pl) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN {q(n)} END" for n, p in fixed.CUES) + "], lambda x: x IS NOT NULL), ',') AS cues FROM c")
+@query("flt08_instruction_cues", PLANTED + f", c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({FOLDED}, '^\\s+', ''), '\\s+$', ''), '[\\x{{00AA}}-\\x{{024F}}\\x{{0370}}-\\x{{1FFF}}\\x{{2C00}}-\\x{{D7FF}}]', '_', 'g') AS text FROM pl) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN {q(n)} END" for n, p in fixed.CUES) + "], lambda x: x IS NOT NULL), ',') AS cues FROM c")
 def _(spark, d):
     return planted(spark, d).select("doc_id", F.array_join(detect.instruction_cues("text", normalise=False), ",").alias("cues"))
 
@@ -114,24 +127,28 @@ def _(spark, d):
     return page_rows(spark, d).select("page_id", F.array_join(tx.comments("html"), "|").alias("comments"))
 
 
-@query("txt05_tidy", r"SELECT doc_id, 'a b' || chr(10) || chr(10) || 'c' AS t FROM documents")
+@query("txt05_tidy", PLANTED + r""", t AS (SELECT doc_id, '  ' || replace(replace(text, chr(10), ' ' || chr(10) || ' ' || chr(10) || chr(10) || ' '), ' ', ' ' || chr(9) || ' ') || ' ' || chr(10) AS t FROM pl),
+l AS (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(t, '\r\n?|\x0B|\f|\x{0085}|\x{2028}|\x{2029}', chr(10), 'g'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)) AS l FROM t)
+SELECT doc_id, sha256(trim(regexp_replace(array_to_string(l, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS t FROM l""")
 def _(spark, d):
     text = F.concat(F.lit("  "), F.replace(F.replace("text", F.lit("\n"), F.lit(" \n \n\n ")), F.lit(" "), F.lit(" \t ")), F.lit(" \n"))
     return planted(spark, d).select("doc_id", F.sha2(tx.tidy(text), 256).alias("t"))
 
 
-@query("txt06_unicode", "SELECT doc_id, doc_id % 3 AS bidi, doc_id % 2 * 2 AS tags, doc_id % 4 AS zero, CASE WHEN doc_id % 2 = 1 THEN 'hi' ELSE '' END AS smuggled, 'safeword' AS delivery FROM documents")
+@query("txt06_unicode", DISGUISED + r""" SELECT doc_id, len(regexp_extract_all(text, '[\x{202A}-\x{202E}\x{2066}-\x{2069}]')) AS bidi, len(regexp_extract_all(text, '[\x{E0000}-\x{E007F}]')) AS tags,
+doc_id % 4 * (len(regexp_extract_all(plain, 'e')) - len(regexp_extract_all(plain, 'e(?:[^A-Za-z0-9]|$)'))) AS zero, CASE WHEN doc_id % 2 = 1 THEN 'hi' ELSE '' END AS smuggled,
+sha256(regexp_replace(plain, 'e([^A-Za-z0-9]|$)', 'e' || repeat(chr(8203), (doc_id % 4)::INTEGER) || '\1', 'g')) AS delivery FROM ds""")
 def _(spark, d):
     x = disguised(spark, d).select("doc_id", tx.unicode_report("text").alias("x"))
     return x.select("doc_id", F.col("x.bidi_controls").cast("long").alias("bidi"), F.col("x.tag_characters").cast("long").alias("tags"), F.col("x.zero_width_in_words").cast("long").alias("zero"), F.col("x.smuggled").alias("smuggled"), F.sha2("x.delivery", 256).alias("delivery"))
 
 
-@query("txt07_base64", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ({PAY})[doc_id % 12 + 1] END AS decoded FROM documents")
+@query("txt07_base64", ENCODED + f" SELECT doc_id, array_to_string({RUNS}, chr(10)) AS decoded FROM en")
 def _(spark, d):
     return encoded(spark, d).select("doc_id", F.array_join(F.transform(tx.encoded_payloads("text"), lambda x: x["decoded"]), "\n").alias("decoded"))
 
 
-@query("txt08_inline_decode", f"SELECT doc_id, 'see  ' || ({PAY})[doc_id % 12 + 1] || '  end' AS t FROM documents")
+@query("txt08_inline_decode", ENCODED + " SELECT doc_id, sha256(replace(plain, payload, ' ' || payload || ' ')) AS t FROM en")
 def _(spark, d):
     return encoded(spark, d).select("doc_id", F.sha2(tx.decode_inline("text"), 256).alias("t"))
 
@@ -142,7 +159,7 @@ def _(spark, d):
     return filter_content(p).select("page_id", F.sha2("delivery_text", 256).alias("delivery"), F.sha2("detection_text", 256).alias("detection"), "concealed_text", "n_hidden", "n_comments", "obfuscated", "is_html")
 
 
-@query("txt10_folding", "SELECT doc_id, 'ignore' AS t FROM documents")
+@query("txt10_folding", PLANTED + f" SELECT doc_id, sha256({FOLDED}) AS t FROM pl")
 def _(spark, d):
     k, letters = F.pmod("doc_id", F.lit(3)), "abcdefghijklmnopqrstuvwxyz"
     wide, alike = F.translate("text", letters, "".join(chr(ord(c) + 0xFEE0) for c in letters)), F.translate("text", "aeopcxi", "аеорсхі")
@@ -162,7 +179,7 @@ def _(spark, d):
     return s.select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join(F.transform("s", lambda x: F.concat(x["sep"], x["text"])), ""), 256).alias("whole"))
 
 
-@query("txt14_separators", "SELECT doc_id, [0, 1, 2, 3][doc_id % 4 + 1] AS strength FROM documents")
+@query("txt14_separators")
 def _(spark, d):
     s = planted(spark, d).select("doc_id", tx.segments("text").alias("s"))
     return s.select("doc_id", F.array_join(F.transform("s", lambda x: tx.separator_strength(x["sep"]).cast("string")), "").alias("strength"))
@@ -173,7 +190,7 @@ def _(spark, d):
     return planted(spark, d).select("doc_id", F.size(tx.segments("text", 400, 5)).alias("n"))
 
 
-@query("txt16_reconstruct", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a' || chr(10) || chr(10) || 'c' WHEN 1 THEN 'a b c' ELSE 'b c' END AS t FROM documents")
+@query("txt16_reconstruct")
 def _(spark, d):
     s = planted(spark, d).select("doc_id", tx.segments("text").alias("s"))
     parts = F.transform("s", lambda x, i: F.struct(x["text"].alias("text"), x["sep"].alias("sep"), (F.pmod(i + F.col("doc_id"), F.lit(3)) != 1).alias("keep")))
@@ -210,7 +227,7 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", tx.preview("text").alias("p"))
 
 
-@query("prj19_marked_invisible", "SELECT doc_id, 'a<U+200B>b' AS t FROM documents")
+@query("prj19_marked_invisible", DISGUISED + " SELECT doc_id, sha256(replace(replace(replace(replace(text, chr(8238), '<U+202E>'), chr(8203), '<U+200B>'), chr(917608), '<U+E0068>'), chr(917609), '<U+E0069>')) AS t FROM ds")
 def _(spark, d):
     return disguised(spark, d).select("doc_id", F.sha2(tx.mark_invisible("text"), 256).alias("t"))
 
@@ -268,8 +285,8 @@ def _(spark, d):
 @query("flt09_blocklist", "SELECT page_id, CASE WHEN regexp_matches(url, 'example\\.net') THEN 'R1' END AS rule FROM pages")
 def _(spark, d):
     hosts_of = load(spark, d, "pages").select("page_id", hosts.split_host(hosts.host_of("url"))["domain"].alias("domain"))
-    listed = [r[0] for r in hosts_of.where("domain like '%example.net'").select("domain").distinct().limit(1000).collect()]
-    return hosts_of.select("page_id", policy.pre_check(DefenseConfig(blocklist=tuple(listed)), "domain", F.lit(False)).alias("rule"))
+    listed = hosts_of.where("domain like '%example.net'").select("domain").distinct()
+    return policy.with_blocked(hosts_of, listed, "domain", "rule").select("page_id", "rule")
 
 
 @query("flt10_empty", "SELECT doc_id FROM documents WHERE doc_id % 6 = 0")
@@ -296,7 +313,7 @@ def _(spark, d):
     return detect.score_distinct(load(spark, d, "documents").select("doc_id", "text"), "text", "s").select("doc_id", "s")
 
 
-@query("det03_instruction_gate", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0::DOUBLE ELSE 0.97::DOUBLE END AS t FROM documents")
+@query("det03_instruction_gate")
 def _(spark, d):
     cfg = DefenseConfig(instruction_gate_domains=("web",))
     rows = planted(spark, d).select("doc_id", "text", F.lit("web").alias("modality"))
@@ -438,7 +455,7 @@ def _(spark, d):
     return triage(responses(spark, d)).select("seq", "session", "key", "action", "threat", "level", "rules", "trust_score", "injection_score", F.sha2("secure_content", 256).alias("content_sha256"))
 
 
-@query("run02_fail_safe", "SELECT doc_id AS seq, 'REJECT' AS action, NULL::VARCHAR AS threat FROM documents WHERE doc_id % 10 = 0")
+@query("run02_fail_safe", "SELECT doc_id AS seq, 'REJECT' AS action, NULL::VARCHAR AS threat FROM documents")
 def _(spark, d):
     null = lambda t: F.lit(None).cast(t)
     s = load(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.lit("x").alias("session"), F.col("source").alias("key"), null("string").alias("domain"), F.lit("web").alias("modality"), null("string").alias("tool"), null("double").alias("risk"), F.lit(0.3).alias("accept"), F.lit(0.7).alias("reject"),
