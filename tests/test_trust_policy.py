@@ -112,3 +112,27 @@ def test_config_checks():
     for bad in ({"w_text": 2}, {"nope": 1}, {"accept_below": 0.8}):
         with pytest.raises(ValueError):
             from_json(TrustConfig, json.dumps(bad))
+
+
+def test_saved_states_go_on(spark, tmp_path):
+    """Folding in two halves with saved states is folding once; a new start keeps reputation and clears the alert."""
+    from tidegate.sources.records import load_state, save_state
+
+    c, rows = DefenseConfig(), _stats(120)
+    whole = {r.seq: r.asDict() for r in ad.decide_in_order(c, spark.createDataFrame(rows, STATS)).collect()}
+    early, late = (spark.createDataFrame(part, STATS) for part in (rows[:70], rows[70:]))
+    save_state(ad.session_dumps(c, early), str(tmp_path / "state"))
+    saved = load_state(spark, str(tmp_path / "state"))
+    got = {r.seq: r.asDict() for half in (ad.decide_in_order(c, early), ad.decide_in_order(c, late, saved)) for r in half.collect()}
+    assert got == whole
+    last = {r.session: json.loads(r.saved) for r in ad.session_dumps(c, late.where("session = 's1'"), saved).collect()}
+    assert set(last) == {"s0", "s1"} and last["s1"]["sources"] == json.loads(ad.session_dumps(c, spark.createDataFrame(rows, STATS)).where("session = 's1'").first().saved)["sources"]
+    cleared = {r.session: json.loads(r.saved) for r in ad.new_sessions(c, saved).collect()}
+    assert all(cleared[k]["alert"] == cleared[k]["events"] == 0 and cleared[k]["sources"] for k in ("s0", "s1"))
+
+
+def test_blocklist_of_any_size(spark):
+    df = spark.range(3000).selectExpr("id", "concat('h', id, '.test') as domain")
+    listed = spark.range(0, 3000, 2).selectExpr("concat('H', id, '.test') as domain")
+    got = policy.with_blocked(df, listed, "domain", "rule").collect()
+    assert len(got) == 3000 and all((r.rule == "R1") == (r.id % 2 == 0) for r in got)

@@ -10,7 +10,7 @@ from ..operators import metrics as m
 from ..streaming import adaptive as ad
 from .pipeline import filter_content, sanitise, text_threat, triage, with_gated_threat
 from .plant import HIDING, PAYLOADS, plant_documents, plant_pages, threats
-from .registry import load, query, rounded
+from .registry import WITH, load, query, rounded
 
 CFG = DefenseConfig()
 q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -340,11 +340,22 @@ def _(spark, d):
     return out.select("doc_id", "n_segments", "n_removed", "n_flagged", F.sha2("sanitised", 256).alias("k"))
 
 
-@query("agg21_sanitiser_scorecard", PLANTED + " SELECT planted, count(*) AS n, 0::BIGINT AS still_there FROM pl GROUP BY planted")
+FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query("agg21_sanitiser_scorecard", PLANTED + f""", x AS (SELECT p.doc_id, p.planted, CASE WHEN p.planted = 0 THEN 'none' ELSE ['start', 'middle', 'end'][p.doc_id % 3 + 1] END AS position, {FLAT.format("c.clean")} AS clean,
+  {FLAT.format("CASE WHEN p.planted = 1 AND p.doc_id % 3 = 1 THEN substr(c.clean, 1, c.half) || ' ' || substr(c.clean, c.half + 1) ELSE c.clean END")} AS rest FROM pl p JOIN pd c USING (doc_id)),
+y AS (SELECT *, list_filter(string_split(regexp_replace(clean, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(s) >= 12) AS parts FROM x)
+SELECT position, count(*) AS n, 0::BIGINT AS still_there, round(avg(CASE WHEN len(parts) > 0 THEN len(list_filter(parts, lambda s: contains(rest, s))) / len(parts)::DOUBLE END), 6) AS retention, count(*) FILTER (rest = clean) AS restored FROM y GROUP BY position""")
 def _(spark, d):
+    """By position of the attack: whether it is still there, the mean share of the document's own sentences (12 characters or more) that are kept, and how many texts are restored but for white space."""
+    clean = load(spark, d, "documents").select("doc_id", F.col("text").alias("clean"))
     p = planted(spark, d).withColumn("modality", F.lit("web"))
-    out = sanitise(p, "doc_id", "text", "modality", CFG).join(p.select("doc_id", "planted", "payload"), "doc_id")
-    return out.groupBy("planted").agg(F.count("*").alias("n"), F.count_if((F.col("planted") == 1) & F.contains("sanitised", F.col("payload"))).alias("still_there"))
+    out = sanitise(p, "doc_id", "text", "modality", CFG).join(p.select("doc_id", "planted", "payload", "position"), "doc_id").join(clean, "doc_id")
+    flat = out.select(F.when(F.col("planted") == 1, F.col("position")).otherwise("none").alias("position"), "payload", "sanitised", tx.flatten("clean").alias("clean"), tx.flatten("sanitised").alias("rest"), "planted")
+    parts = flat.withColumn("parts", F.filter(F.split("clean", r"(?<=[.!?]) "), lambda x: F.length(x) >= 12))
+    kept = F.size(F.filter("parts", lambda x: F.contains("rest", x))) / F.nullif(F.size("parts"), F.lit(0))
+    return parts.groupBy("position").agg(F.count("*").alias("n"), F.count_if((F.col("planted") == 1) & F.contains("sanitised", F.col("payload"))).alias("still_there"), F.round(F.avg(kept), 6).alias("retention"), F.count_if(F.col("rest") == F.col("clean")).alias("restored"))
 
 
 @query("san02_summary", PLANTED + " SELECT planted, count(*) AS n FROM pl WHERE planted = 1 GROUP BY planted")
@@ -463,12 +474,45 @@ def _(spark, d):
     return ad.decide_in_order(CFG, s).select("seq", "action", "threat")
 
 
-@query("run08_adaptive_simulation")
+def simulated(session, seq, key, risk):
+    """Statistics of simulated responses: images, which are never salvaged."""
+    some = {"session": session, "seq": seq, "key": key, "domain": F.lit(None).cast("string"), "modality": F.lit("image"), "tool": F.lit("get"), "risk": risk, "accept": F.lit(0.3), "reject": F.lit(0.7), "evidence": F.lit(False),
+        "residual": F.lit(0.1), "remaining": F.lit(5), "removed": F.lit(0), "empty": F.lit(False), "ok": F.lit(True), "control": F.lit(None).cast("string")}
+    return [c.alias(n) for n, c in some.items()]
+
+
+SHIFT = "CASE WHEN adaptive AND s >= 2.5 THEN 0.2::DOUBLE WHEN adaptive AND (s >= 1 OR alert > 0) THEN 0.1 ELSE 0 END"
+
+
+@query("run08_adaptive_simulation", WITH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", n AS (SELECT doc_id, category, y, coalesce(t, 0.5)::DOUBLE AS risk, row_number() OVER (PARTITION BY category, y ORDER BY doc_id) - 1 AS i FROM scored),
+a AS (SELECT category, i // 5 AS seq, i % 5 + 1 AS attempt, risk FROM n WHERE y = 1),
+step AS (SELECT adaptive, category, seq, 0 AS attempt, 0::DOUBLE AS s, 0 AS alert, ''::VARCHAR AS threat FROM (SELECT DISTINCT category, seq FROM a), (VALUES (true), (false)) m(adaptive)
+  UNION ALL
+  SELECT adaptive, category, seq, attempt, CASE WHEN adaptive THEN s * 0.85::DOUBLE + CASE threat WHEN 'REJECT' THEN 1 WHEN 'SANITIZE' THEN 0.5::DOUBLE ELSE 0 END ELSE 0 END, CASE WHEN NOT adaptive THEN 0 WHEN threat = 'REJECT' THEN 10 ELSE greatest(0, alert - 1) END, threat
+  FROM (SELECT p.adaptive, p.category, p.seq, a.attempt, p.s, p.alert, CASE WHEN a.risk < greatest(0.05, 0.3 - {SHIFT}) THEN 'ACCEPT' WHEN a.risk >= 0.7 - {SHIFT} THEN 'REJECT' ELSE 'SANITIZE' END AS threat
+    FROM step p JOIN a ON a.category IS NOT DISTINCT FROM p.category AND a.seq = p.seq AND a.attempt = p.attempt + 1)),
+b AS (SELECT CASE WHEN i % 2 = 0 THEN 'benign_alert' ELSE 'benign_calm' END AS mode, CASE WHEN risk < CASE WHEN i % 2 = 0 THEN 0.2::DOUBLE ELSE 0.3 END THEN 'ACCEPT' WHEN risk >= CASE WHEN i % 2 = 0 THEN 0.6::DOUBLE ELSE 0.7 END THEN 'REJECT' ELSE 'SANITIZE' END AS threat FROM n WHERE y = 0),
+al AS (SELECT CASE WHEN adaptive THEN 'adaptive' ELSE 'static' END AS mode, attempt, threat FROM step WHERE attempt > 0 UNION ALL SELECT mode, 0, threat FROM b)
+SELECT mode, attempt::BIGINT AS attempt, count(*) FILTER (threat = 'ACCEPT') AS accept, count(*) FILTER (threat = 'SANITIZE') AS sanitize, count(*) FILTER (threat = 'REJECT') AS reject, round(count(*) FILTER (threat <> 'REJECT') / count(*)::DOUBLE, 4) AS delivered FROM al GROUP BY mode, attempt""")
 def _(spark, d):
-    e = threat_events(spark, d)
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    tried = e.withColumn("attempt", F.pmod(F.row_number().over(order) - 1, F.lit(5)) + 1)
-    return m.outcome_table(tried.withColumn("y", (F.col("threat") == "REJECT").cast("int")), action="threat", by=["attempt"])
+    """Attackers try five times each, with static and with adaptive thresholds; benign responses come in turn right after an attack and in calm."""
+    from dataclasses import replace
+
+    from .registry import scored
+
+    turn = Window.partitionBy("category", "y").orderBy("doc_id")
+    n = scored(spark, d).select("doc_id", "category", "y", F.coalesce("t", F.lit(0.5)).alias("risk"), (F.row_number().over(turn) - 1).alias("i"))
+    tried = F.concat_ws(":", F.lit("attack"), F.coalesce("category", F.lit("")), F.floor(F.col("i") / 5).cast("string"))
+    attacks = n.where("y = 1").select(*simulated(tried, (F.col("i") % 5 + 1).cast("long"), tried, F.col("risk")))
+    benign = n.where("y = 0").withColumn("own", F.concat(F.lit("benign:"), F.col("doc_id").cast("string")))
+    primed = benign.where("i % 2 = 0").select(*simulated(F.col("own"), F.lit(0).cast("long"), F.lit("attacker"), F.lit(1.0)))
+    calm = benign.select(*simulated(F.col("own"), (10 + F.col("i") % 2).cast("long"), F.lit("reader"), F.col("risk")))
+    fixed_thresholds = ad.decide_in_order(replace(CFG, adaptive=False), attacks).withColumn("mode", F.lit("static"))
+    raised = ad.decide_in_order(CFG, attacks.unionByName(primed).unionByName(calm)).where("seq > 0")
+    kind = F.when(F.col("seq") == 10, "benign_alert").when(F.col("seq") == 11, "benign_calm").otherwise("adaptive")
+    every = fixed_thresholds.unionByName(raised.withColumn("mode", kind)).withColumn("attempt", F.when(F.col("seq") >= 10, 0).otherwise(F.col("seq")).cast("long"))
+    count = lambda a: F.count_if(F.col("threat") == a).alias(a.lower())
+    return every.groupBy("mode", "attempt").agg(count("ACCEPT"), count("SANITIZE"), count("REJECT"), F.round(F.count_if(F.col("threat") != "REJECT") / F.count("*"), 4).alias("delivered"))
 
 
 @query("prj09_records_as_responses", "SELECT doc_id, domain AS modality, lang AS content FROM scored")

@@ -2,8 +2,9 @@
 
 Batch: one ordered fold per key.  Where only reputation counts, the key is the
 source, and since decay is by event the closed form needs no fold at all.
-Stream: the same step function under applyInPandasWithState; state has a bounded
-size per key.  A session's fold is sequential by nature; the key is the session.
+Stream: the same step function under applyInPandasWithState; state is a session's,
+and grows with the sources that it has met.  A session's fold is sequential by
+nature; the key is the session.
 """
 
 from __future__ import annotations
@@ -138,24 +139,77 @@ class Session:
 OUT = "session string, seq long, key string, action string, threat string, level string, rules string, suspicion double, session_alert int"
 
 
+def _decided(session: Session, name, row: dict) -> dict:
+    got = session.step(row)
+    return {"session": name, "seq": row["seq"], "key": row["key"], **got, "suspicion": float(session.sources.get(row["key"], [0.0])[0]), "session_alert": session.alert}
+
+
+def _records(frame: pd.DataFrame) -> list[dict]:
+    return frame.astype(object).where(frame.notna(), None).to_dict("records")
+
+
 def _play(session: Session, name, frame: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for row in frame.sort_values("seq", kind="stable").astype(object).where(frame.notna(), None).to_dict("records"):
-        got = session.step(row)
-        out.append({"session": name, "seq": row["seq"], "key": row["key"], **got, "suspicion": float(session.sources.get(row["key"], [0.0])[0]), "session_alert": session.alert})
-    return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+    out = [_decided(session, name, row) for row in _records(frame.sort_values("seq", kind="stable"))]
+    return pd.DataFrame(out, columns=_columns(OUT))
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _in_order(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | None, states: bool) -> DataFrame:
+    """Rows of a session come one after the other, so a task holds a batch of rows and one session's state, however long the session is."""
+    at = statistics.withColumn("saved", F.lit(None).cast("string")) if saved is None else statistics.join(saved.select("session", "saved"), "session", "left")
 
+    def run(frames):
+        now, session = object(), None
+        for frame in frames:
+            out = []
+            for row in _records(frame):
+                if row["session"] != now:
+                    if states and session is not None:
+                        out.append({"session": now, "saved": session.dump()})
+                    now, session = row["session"], Session(config, row["saved"])
+                got = _decided(session, now, row)
+                if not states:
+                    out.append(got)
+            yield pd.DataFrame(out, columns=_columns(STATE if states else OUT))
+        if states and session is not None:
+            yield pd.DataFrame([{"session": now, "saved": session.dump()}])
 
-def decide_in_order(config: DefenseConfig, statistics: DataFrame) -> DataFrame:
+    return at.repartition("session").sortWithinPartitions("session", "seq").mapInPandas(run, STATE if states else OUT)
+
+
+STATE = "session string, saved string"
+
+
+def decide_in_order(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | None = None) -> DataFrame:
     """The closed loop in batch: one ordered fold per session over (session, seq, key, domain, modality, tool, risk, accept, reject, evidence, residual, remaining, removed, empty, ok, control).
 
-    Rows hold numbers, not texts, so a session of a million responses is tens of MB.
+    saved: (session, saved) of session_dumps(), from which sessions go on.
     """
+    return _in_order(config, statistics, saved, False)
+
+
+def session_dumps(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+    """(session, saved): each session's state after these responses, for save_state; sessions without responses keep theirs."""
+    now = _in_order(config, statistics, saved, True)
+    return now if saved is None else now.unionByName(saved.select("session", "saved").join(now.select("session"), "session", "left_anti"))
+
+
+def new_sessions(config: DefenseConfig, saved: DataFrame) -> DataFrame:
+    """Saved states for a new start: alert and counts cleared, sources' reputation kept."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return _play(Session(config), key[0], frame)
+    @F.pandas_udf("string")
+    def cleared(dumps: pd.Series) -> pd.Series:
+        out = []
+        for d in dumps:
+            session = Session(config, d)
+            session.reset()
+            out.append(session.dump())
+        return pd.Series(out)
 
-    return statistics.groupBy("session").applyInPandas(run, OUT)
+    return saved.select("session", cleared("saved").alias("saved"))
 
 
 def decide_stream(config: DefenseConfig, statistics: DataFrame) -> DataFrame:
