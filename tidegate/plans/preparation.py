@@ -92,20 +92,21 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", sniff(F.lit("upload"), head).alias("kind"))
 
 
-@query("src13_paragraphs", """, b AS (SELECT doc_id AS doc, i AS seq, 'w' || i AS text, i % 4 <> 0 AS near FROM documents, range(12) q(i)), p AS (SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY seq) AS para FROM b)
-SELECT doc, para::BIGINT AS para, string_agg(text, ' ' ORDER BY seq) AS text FROM p GROUP BY doc, para""")
+@query("src13_paragraphs", """, b AS (SELECT doc_id AS doc, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS seq FROM documents), p AS (SELECT *, seq // (3 + doc % 4) AS para FROM b WHERE regexp_matches(text, '\\S'))
+SELECT doc, dense_rank() OVER (PARTITION BY doc ORDER BY para)::BIGINT AS para, sha256(trim(regexp_replace(replace(text, '- ', '-'), '\\s+', ' ', 'g'))) AS text FROM (SELECT doc, para, string_agg(text, ' ' ORDER BY seq) AS text FROM p GROUP BY doc, para)""")
 def _(spark, d):
-    b = load(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("seq"))
-    y0 = F.col("seq") * 11.0 + F.floor(F.col("seq") / 4) * 30.0
-    boxes = b.select("doc", F.lit(1).alias("page"), "seq", F.concat(F.lit("w"), F.col("seq")).alias("text"), F.lit(50.0).alias("x0"), y0.alias("y0"), (y0 + 10.0).alias("y1"), F.lit(10.0).alias("height"))
-    return files.join_paragraphs(boxes).select("doc", "para", "text")
+    """The words of whole texts as boxes, in paragraphs of three to six by document."""
+    b = load(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("seq", "text")).where(F.regexp_like("text", F.lit("(?U)\\S")))
+    y0 = F.col("seq") * 11.0 + F.floor(F.col("seq") / (3 + F.pmod("doc", F.lit(4)))) * 30.0
+    boxes = b.select("doc", F.lit(1).alias("page"), "seq", "text", F.lit(50.0).alias("x0"), y0.alias("y0"), (y0 + 10.0).alias("y1"), F.lit(10.0).alias("height"))
+    return files.join_paragraphs(boxes).select("doc", "para", F.sha2("text", 256).alias("text"))
 
 
-@query("win08_hidden_spans", """, s AS (SELECT doc_id AS doc, i AS seq, 's' || i AS text, i // 3 AS block FROM documents, range(9) q(i)) SELECT doc, block, string_agg(text, ' ' ORDER BY seq) AS text FROM s GROUP BY ALL""")
+@query("win08_hidden_spans", """, s AS (SELECT doc_id AS doc, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS seq FROM documents) SELECT doc, seq // (3 + doc % 3) AS block, sha256(trim(regexp_replace(string_agg(text, ' ' ORDER BY seq), '\\s+', ' ', 'g'))) AS text FROM s GROUP BY ALL""")
 def _(spark, d):
-    s = load(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("seq"))
-    spans = s.select("doc", "seq", F.concat(F.lit("s"), F.col("seq")).alias("text"), F.lit(1).alias("page"), F.floor(F.col("seq") / 3).alias("block"), F.lit("white").alias("reason"))
-    return files.merge_hidden_spans(spans).select("doc", "block", "text")
+    s = load(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("seq", "text"))
+    spans = s.select("doc", "seq", "text", F.lit(1).alias("page"), F.floor(F.col("seq") / (3 + F.pmod("doc", F.lit(3)))).alias("block"), F.lit("white").alias("reason"))
+    return files.merge_hidden_spans(spans).select("doc", "block", F.sha2("text", 256).alias("text"))
 
 
 @query("prj22_rectangles", "SELECT doc_id, round(least(1, greatest(0, (doc_id % 100) / 600::DOUBLE)), 4) AS x0, 0.05::DOUBLE AS y0, 1::DOUBLE AS x1, 0.5::DOUBLE AS y1 FROM documents")
@@ -137,10 +138,10 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", F.sha2(ds.web_text("text"), 256).alias("k"))
 
 
-@query("prj03_image_text", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Image content:' ELSE 'Image content: ' || lang END AS text FROM documents")
+@query("prj03_image_text", "SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN 'Image content:' ELSE 'Image content: ' || regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') END) AS text FROM documents")
 def _(spark, d):
-    words = F.when(F.pmod("doc_id", F.lit(4)) == 0, "  ").otherwise(F.col("lang"))
-    return load(spark, d, "documents").select("doc_id", ds.image_text(words).alias("text"))
+    words = F.when(F.pmod("doc_id", F.lit(4)) == 0, "  ").otherwise(F.col("text"))
+    return load(spark, d, "documents").select("doc_id", F.sha2(ds.image_text(words), 256).alias("text"))
 
 
 @query("prj04_content_key", "SELECT doc_id, sha256 FROM scored")
@@ -156,10 +157,10 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", ds.label_from_path(F.concat(F.lit("/raw/"), folder, F.lit("/x.png"))).alias("label"))
 
 
-@query("prj06_prefix_strip", "SELECT doc_id, lang AS text FROM documents")
+@query("prj06_prefix_strip", "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS text FROM documents")
 def _(spark, d):
     prefix = F.element_at(F.array(F.lit("Web content: "), F.lit(" IMAGE CONTENT:"), F.lit("")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
-    return load(spark, d, "documents").select("doc_id", ds.strip_prefix(F.concat(prefix, "lang")).alias("text"))
+    return load(spark, d, "documents").select("doc_id", F.sha2(ds.strip_prefix(F.concat(prefix, "text")), 256).alias("text"))
 
 
 @query("prj07_pdf_split", f"SELECT doc_id, nullif({INTENT}, '') AS intent, sha256(trim(text)) AS body FROM documents")
@@ -209,9 +210,9 @@ def _(spark, d):
     return scored(spark, d).select("doc_id", ds.drop_reason("domain", text, words, status).alias("reason"))
 
 
-@query("flt03_empty_text", "SELECT doc_id FROM documents WHERE doc_id % 6 <> 0")
+@query("flt03_empty_text", "SELECT doc_id FROM documents WHERE doc_id % 6 <> 0 AND regexp_matches(text, '\\S')")
 def _(spark, d):
-    text = F.when(F.pmod("doc_id", F.lit(6)) == 0, "\t ").otherwise("x")
+    text = F.when(F.pmod("doc_id", F.lit(6)) == 0, F.repeat(F.lit("\t "), F.pmod("doc_id", F.lit(5)).cast("int"))).otherwise(F.col("text"))
     return load(spark, d, "documents").where(ds.drop_reason(F.lit("web"), text).isNull()).select("doc_id")
 
 
@@ -421,9 +422,9 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", F.array_min(F.array_intersect(F.split(F.lower(c), " "), F.array(*map(F.lit, fixed.HIDING_CLASSES)))).alias("hit"))
 
 
-@query("set05_ordered_distinct", "SELECT doc_id, lang || ',' || source AS v FROM documents")
+@query("set05_ordered_distinct", ", w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY doc_id, w) SELECT doc_id, sha256(string_agg(w, ',' ORDER BY i)) AS v FROM f GROUP BY doc_id")
 def _(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.array("lang", "source", "lang", "source")), ",").alias("v"))
+    return load(spark, d, "documents").select("doc_id", F.sha2(F.array_join(F.array_distinct(F.split("text", " ")), ","), 256).alias("v"))
 
 
 @query("agg08_dataset_summary", LINES + f", r AS (SELECT j, {ZERO_ONE} AS label FROM ln) SELECT count(*) AS total_lines, count(*) FILTER (label IS NULL) AS corrupt, count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS malicious, count(DISTINCT CASE WHEN label IS NOT NULL THEN coalesce(j->>'$.user_intent', '') || '|' || coalesce(j->>'$.context', '') END) AS unique_contents FROM r")

@@ -289,9 +289,9 @@ def _(spark, d):
     return policy.with_blocked(hosts_of, listed, "domain", "rule").select("page_id", "rule")
 
 
-@query("flt10_empty", "SELECT doc_id FROM documents WHERE doc_id % 6 = 0")
+@query("flt10_empty", "SELECT doc_id FROM documents WHERE doc_id % 6 = 0 OR NOT regexp_matches(text, '\\S')")
 def _(spark, d):
-    t = F.when(F.pmod("doc_id", F.lit(6)) == 0, " \n\t").otherwise(F.col("lang"))
+    t = F.when(F.pmod("doc_id", F.lit(6)) == 0, F.repeat(F.lit(" \n\t"), F.pmod("doc_id", F.lit(5)).cast("int"))).otherwise(F.col("text"))
     return load(spark, d, "documents").where(tx.strip(t) == "").select("doc_id")
 
 
