@@ -304,6 +304,21 @@ def test_embedding_dedup(spark):
     assert embdedup.near_duplicates(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_embedding_recall_as_shipped(spark):
+    """Pairs just above the threshold, with the default miss probability, among vectors that are near to nothing."""
+    rng = np.random.default_rng(66)
+    base = rng.normal(size=(600, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9005, 0.91, (600, 1))
+    rows = list(enumerate(np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side]).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = embdedup.near_duplicates(df, "vec_id", "embedding").where("n_links > 0").count()
+    assert found >= 0.99 * len(rows)
+
+
 # ------------------------------------------------------------------ 8
 def test_chat(spark):
     call = lambda *c: '{"content": null, "tool_calls": [' + ",".join(c) + "]}"

@@ -97,6 +97,17 @@ def op6_embedding_dedup(spark, sf_dir):
     return embdedup.near_duplicates(load(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+SQL["op6_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), edge AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.u, edge.v FROM reach JOIN edge ON edge.u = reach.v),
+c AS (SELECT u, min(v) AS m FROM reach GROUP BY u), n AS (SELECT u, count(*) AS n FROM edge GROUP BY u)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.m AS component_id, e.vec_id = c.m AS kept FROM embeddings e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
+"""
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.encode_texts(load(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
