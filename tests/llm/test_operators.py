@@ -304,6 +304,15 @@ def test_embedding_dedup(spark):
     assert embdedup.near_duplicates(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_embedding_repeated_ids(spark):
+    """An id with two vectors joins what is near to either."""
+    x = np.eye(8) + 0.01
+    rows = [(1, x[0]), (1, x[1]), (2, x[0] + 0.02 * x[5]), (3, x[1] + 0.02 * x[5]), (4, x[2]), (5, x[2]), (5, x[3]), (6, x[3] * 2), (7, x[4]), (7, x[4])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").withColumns({"rep": F.lit("clash"), "vec": F.lit("clash")})
+    got = sorted((r.vec_id, r.component_id, r.n_links) for r in embdedup.near_duplicates(df, "vec_id", "embedding").collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 1), (5, 4, 1), (5, 4, 1), (6, 4, 1), (7, 7, 1), (7, 7, 1)]
+
+
 def test_embedding_recall_as_shipped(spark):
     """Pairs just above the threshold, with the default miss probability, among vectors that are near to nothing."""
     rng = np.random.default_rng(66)

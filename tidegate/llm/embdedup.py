@@ -12,7 +12,9 @@ spanning set of links leave a group, never all its pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null, NaN or infinite
 components link with nothing, nor do rows without an id (component null); vectors
-of unlike length never link; rows that share an id are one node.
+of unlike length never link; rows that share an id are one node, and each counts
+the links of its own vector; other columns are not carried on, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, threshold: floa
     """id, n_links, component_id, kept for every row."""
     rows = table(_packed(df, id_col, vector_col), "vectors")
     able = rows.where("id is not null and vec is not null")
-    classes = table(able.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
+    classes = table(able.groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("m")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     bits, tables = plan_tables(classes.count(), threshold, miss)
 
     def sign(batches):
@@ -121,10 +123,16 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, threshold: floa
 
     found = met.select(*key, "i", "j", "own", "vec", "rep", "m", "codes").groupBy(*key, "i", "j").applyInArrow(compare, "rep long, n long, root long")
     found = table(found, "found")
-    groups = connected_components(found, "rep", "root")
+    members = table(able.join(classes.select("vec", "rep"), "vec").select("id", "rep"), "members")
+    # rows that share an id but not a vector: their classes are one node
+    several = members.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("id", "low")
+    shared = members.join(several, "id").where("low < rep").select("rep", F.col("low").alias("root"))
+    groups = connected_components(found.select("rep", "root").unionByName(shared), "rep", "root")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    known = classes.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("vec", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = classes.select("rep", "least", "m").join(groups, F.col("rep") == F.col("node"), "left").select("rep", "least", "m", F.coalesce("component", "rep").alias("g"))
+    smallest = named.groupBy("g").agg(F.min("least").alias("component"))
+    known = named.join(smallest, "g").join(counts, "rep", "left").select("rep", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component")
     alone = rows.where("id is null or vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    linked = able.join(known, "vec").select("id", "n_links", F.col("component").alias("component_id"))
+    linked = members.join(known, "rep").select("id", "n_links", F.col("component").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
