@@ -12,20 +12,22 @@ from .registry import load, query, scored
 
 # ------------------------------------------------------------------ reading
 LINES = """, jl AS (
-  SELECT doc_id, CASE WHEN doc_id % 20 = 7 THEN '   ' WHEN doc_id % 50 = 9 THEN '{"label": 1, "text"' WHEN doc_id % 33 = 5 THEN '{"label":"1","text":"' || left(sha256(text), 20) || '","context":"c","source":"s"}'
+  SELECT doc_id, CASE WHEN doc_id % 20 = 7 THEN '   ' WHEN doc_id % 50 = 9 THEN '{"label": 1, "text"' WHEN doc_id % 33 = 5 THEN '{"label":"1","text":' || to_json(text)::VARCHAR || ',"context":"c","source":"s"}'
     WHEN doc_id % 33 = 6 THEN '{"label":7,"text":"x","context":"c"}' WHEN doc_id % 33 = 7 THEN '{"label":true,"text":"","context":"c","user_intent":"i"}' WHEN doc_id % 33 = 8 THEN '{"text":"no label"}'
-    ELSE '{"label":' || (doc_id % 2)::VARCHAR || ',"text":"' || left(sha256(text), 20) || '","context":"' || left(sha256(text), 12) || '","user_intent":"' || CASE WHEN doc_id % 3 = 0 THEN 'look' ELSE '' END || '","source":"' || source || '"}' END AS line
+    ELSE '{"label":' || (doc_id % 2)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || ',"context":' || to_json(source || chr(10) || text)::VARCHAR || ',"user_intent":"' || CASE WHEN doc_id % 3 = 0 THEN 'look' ELSE '' END || '","source":' || to_json(source)::VARCHAR || '}' END AS line
   FROM documents
 ), ln AS (SELECT *, TRY_CAST(line AS JSON) AS j FROM jl WHERE trim(line) <> '')"""
 
 
 def lines(spark, d):
-    i, h = F.col("doc_id"), F.sha2("text", 256)
+    """A JSON line of each whole document, some of them blank, broken or without a good label by rule."""
+    i = F.col("doc_id")
     mod = lambda n, k: F.pmod(i, F.lit(n)) == k
+    record = F.struct(F.pmod(i, F.lit(2)).alias("label"), "text", F.concat("source", F.lit("\n"), "text").alias("context"), F.when(mod(3, 0), "look").otherwise("").alias("user_intent"), "source")
     line = (
-        F.when(mod(20, 7), "   ").when(mod(50, 9), '{"label": 1, "text"').when(mod(33, 5), F.concat(F.lit('{"label":"1","text":"'), F.left(h, F.lit(20)), F.lit('","context":"c","source":"s"}')))
+        F.when(mod(20, 7), "   ").when(mod(50, 9), '{"label": 1, "text"').when(mod(33, 5), F.to_json(F.struct(F.lit("1").alias("label"), "text", F.lit("c").alias("context"), F.lit("s").alias("source"))))
         .when(mod(33, 6), '{"label":7,"text":"x","context":"c"}').when(mod(33, 7), '{"label":true,"text":"","context":"c","user_intent":"i"}').when(mod(33, 8), '{"text":"no label"}')
-        .otherwise(F.concat(F.lit('{"label":'), F.pmod(i, F.lit(2)).cast("string"), F.lit(',"text":"'), F.left(h, F.lit(20)), F.lit('","context":"'), F.left(h, F.lit(12)), F.lit('","user_intent":"'), F.when(mod(3, 0), "look").otherwise(""), F.lit('","source":"'), F.col("source"), F.lit('"}')))
+        .otherwise(F.to_json(record))
     )
     return load(spark, d, "documents").select("doc_id", line.alias("line")).where(F.trim("line") != "")
 
@@ -34,9 +36,9 @@ ZERO_ONE = "CASE WHEN json_type(j, '$.label') IN ('BIGINT', 'UBIGINT') AND (j->>
 ANY_INT = "CASE WHEN json_type(j, '$.label') = 'BOOLEAN' THEN CASE WHEN (j->>'$.label') = 'true' THEN 1 ELSE 0 END ELSE TRY_CAST(j->>'$.label' AS INTEGER) END"
 
 
-@query("src01_pdf_lines", LINES + f", r AS (SELECT doc_id, j, {ZERO_ONE} AS label FROM ln) SELECT doc_id, label, j->>'$.context' AS context, j->>'$.user_intent' AS user_intent, coalesce(j->>'$.source', 'unknown') AS source FROM r WHERE label IS NOT NULL")
+@query("src01_pdf_lines", LINES + f", r AS (SELECT doc_id, j, {ZERO_ONE} AS label FROM ln) SELECT doc_id, label, sha256(j->>'$.context') AS context, j->>'$.user_intent' AS user_intent, coalesce(j->>'$.source', 'unknown') AS source FROM r WHERE label IS NOT NULL")
 def _(spark, d):
-    return src.pdf_records(lines(spark, d))[0].select("doc_id", "label", "context", "user_intent", "source")
+    return src.pdf_records(lines(spark, d))[0].select("doc_id", "label", F.sha2("context", 256).alias("context"), "user_intent", "source")
 
 
 @query("src01_corrupt_lines", LINES + f", r AS (SELECT j, {ZERO_ONE} AS label FROM ln) SELECT CASE WHEN j IS NULL THEN 'not_json' ELSE 'bad_label' END AS reason, count(*) AS n FROM r WHERE label IS NULL GROUP BY ALL")
@@ -53,12 +55,12 @@ def _(spark, d):
     return read.select(F.col("raw_id").cast("long").alias("doc_id"), "label", "category")
 
 
-@query("src05_combined_loader", LINES + f", r AS (SELECT doc_id, trim(coalesce(j->>'$.text', '')) AS text, {ANY_INT} AS label FROM ln WHERE j IS NOT NULL) SELECT doc_id, text, label, 'pdf' AS domain FROM r WHERE label IS NOT NULL AND text <> ''")
+@query("src05_combined_loader", LINES + f", r AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(j->>'$.text', ''), '^\\s+', ''), '\\s+$', '') AS text, {ANY_INT} AS label FROM ln WHERE j IS NOT NULL) SELECT doc_id, sha256(text) AS text, label, 'pdf' AS domain FROM r WHERE label IS NOT NULL AND text <> ''")
 def _(spark, d):
-    return src.combined_records(lines(spark, d), "pdf")[0].select("doc_id", "text", "label", "domain")
+    return src.combined_records(lines(spark, d), "pdf")[0].select("doc_id", F.sha2("text", 256).alias("text"), "label", "domain")
 
 
-TRAIN = LINES + f", r AS (SELECT doc_id, CASE WHEN j IS NULL THEN 'not_json' WHEN json_type(j, '$.label') IS NULL THEN 'missing_label' WHEN coalesce({ANY_INT} NOT IN (0, 1), true) THEN 'bad_label' WHEN trim(coalesce(j->>'$.text', '')) = '' THEN 'empty_text' END AS reason FROM ln)"
+TRAIN = LINES + f", r AS (SELECT doc_id, CASE WHEN j IS NULL THEN 'not_json' WHEN json_type(j, '$.label') IS NULL THEN 'missing_label' WHEN coalesce({ANY_INT} NOT IN (0, 1), true) THEN 'bad_label' WHEN NOT regexp_matches(coalesce(j->>'$.text', ''), '\\S') THEN 'empty_text' END AS reason FROM ln)"
 
 
 @query("src06_training_loader", TRAIN + " SELECT doc_id FROM r WHERE reason IS NULL")
@@ -83,13 +85,16 @@ def _(spark, d):
     return src.attack_list(load(spark, d, "documents").select("source").distinct().select(body.alias("line")))
 
 
-@query("src11_sniffing", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'web' WHEN 3 THEN 'docx' ELSE 'text' END AS kind FROM documents")
+@query("src11_sniffing", r"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 3 THEN 'docx' WHEN 4 THEN 'text'
+  ELSE CASE WHEN regexp_matches(left(html, 4000), '(?i)<\s*(?:!doctype\s+html|html|body|head|div|p|span|h[1-6])\b') THEN 'web' ELSE 'text' END END AS kind FROM pages""")
 def _(spark, d):
+    """Whole pages as files: behind the first bytes of other kinds, as they are, and with their tags escaped."""
     from ..functions.hosts import sniff
 
-    k = F.pmod("doc_id", F.lit(5))
-    head = F.when(k == 0, F.unhex(F.lit("255044462D"))).when(k == 1, F.unhex(F.lit("89504E47"))).when(k == 2, F.encode(F.lit("<!doctype html><p>"), "UTF-8")).when(k == 3, F.encode(F.lit("PK..word/document.xml"), "UTF-8")).otherwise(F.encode(F.lit("plain"), "UTF-8"))
-    return load(spark, d, "documents").select("doc_id", sniff(F.lit("upload"), head).alias("kind"))
+    k = F.pmod("page_id", F.lit(5))
+    body = F.when(k == 4, F.replace("html", F.lit("<"), F.lit("&lt;"))).otherwise(F.col("html"))
+    head = F.when(k == 0, F.unhex(F.lit("255044462D"))).when(k == 1, F.unhex(F.lit("89504E47"))).when(k == 3, F.encode(F.lit("PK..word/document.xml"), "UTF-8")).otherwise(F.unhex(F.lit("")))
+    return load(spark, d, "pages").select("page_id", sniff(F.lit("upload"), F.concat(head, F.encode(body, "UTF-8"))).alias("kind"))
 
 
 @query("src13_paragraphs", """, b AS (SELECT doc_id AS doc, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS seq FROM documents), p AS (SELECT *, seq // (3 + doc % 4) AS para FROM b WHERE regexp_matches(text, '\\S'))
@@ -151,10 +156,15 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", content_key("text").alias("sha256"))
 
 
-@query("prj05_label_from_path", "SELECT doc_id, [0, 1, -1][doc_id % 3 + 1] AS label FROM documents")
+@query("prj05_label_from_path", """, h AS (SELECT doc_id, ('0x' || left(sha256(text), 4))::BIGINT AS h FROM documents)
+SELECT doc_id, CASE WHEN h % 3 = 0 AND h // 3 % 2 = 0 THEN 0 WHEN h % 3 = 1 OR (h % 3 = 0 AND h // 3 % 2 = 1 AND h // 6 % 2 = 0) THEN 1 ELSE -1 END AS label FROM h""")
 def _(spark, d):
-    folder = F.element_at(F.array(F.lit("Benign"), F.lit("malicious"), F.lit("misc")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
-    return load(spark, d, "documents").select("doc_id", ds.label_from_path(F.concat(F.lit("/raw/"), folder, F.lit("/x.png"))).alias("label"))
+    """Paths of one to three folders chosen by a text's digest; file names, which say nothing, begin with the folders' names."""
+    h = F.conv(F.left(F.sha2("text", 256), F.lit(4)), 16, 10).cast("long")
+    bit = lambda n: F.pmod(F.floor(h / n), F.lit(2))
+    first = F.when((h % 3 == 0) & (bit(3) == 0), "/Malicious/BENIGN").when(h % 3 == 0, F.when(bit(6) == 0, "/x/MALICIOUS").otherwise("/x/benign-not")).when(h % 3 == 1, "/malicious").otherwise("/misc")
+    path = F.concat(F.lit("/raw"), first, F.lit("/"), "source", F.lit("/benign_"), F.col("doc_id").cast("string"), F.lit(".png"))
+    return load(spark, d, "documents").select("doc_id", ds.label_from_path(path).alias("label"))
 
 
 @query("prj06_prefix_strip", "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS text FROM documents")
@@ -416,10 +426,12 @@ def _(spark, d):
     return load(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang").unionByName(b, allowMissingColumns=True)
 
 
-@query("set04_hiding_classes", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'd-none' WHEN 1 THEN 'hidden' WHEN 2 THEN 'invisible' END AS hit FROM documents")
+@query("set04_hiding_classes", f"""SELECT doc_id, list_min(list_intersect(string_split(lower(text || ['', ' Hidden d-none', ' INVISIBLE', ' not-hidden'][doc_id % 4 + 1]), ' '), {fixed.HIDING_CLASSES})) AS hit FROM documents""")
 def _(spark, d):
-    c = F.element_at(F.array(F.lit("box hidden d-none"), F.lit("hidden"), F.lit("Invisible wide"), F.lit("plain")), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
-    return load(spark, d, "documents").select("doc_id", F.array_min(F.array_intersect(F.split(F.lower(c), " "), F.array(*map(F.lit, fixed.HIDING_CLASSES)))).alias("hit"))
+    """The words of whole texts as classes, with others behind them by rule."""
+    more = F.element_at(F.array(F.lit(""), F.lit(" Hidden d-none"), F.lit(" INVISIBLE"), F.lit(" not-hidden")), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    c = F.split(F.lower(F.concat("text", more)), " ")
+    return load(spark, d, "documents").select("doc_id", F.array_min(F.array_intersect(c, F.array(*map(F.lit, fixed.HIDING_CLASSES)))).alias("hit"))
 
 
 @query("set05_ordered_distinct", ", w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY doc_id, w) SELECT doc_id, sha256(string_agg(w, ',' ORDER BY i)) AS v FROM f GROUP BY doc_id")
@@ -431,7 +443,7 @@ def _(spark, d):
 def _(spark, d):
     read = src.parse(lines(spark, d), src.PDF_SCHEMA).withColumn("y", src.zero_or_one("_v"))
     key = F.when(F.col("y").isNotNull(), F.concat(F.coalesce("r.user_intent", F.lit("")), F.lit("|"), F.coalesce("r.context", F.lit(""))))
-    return read.agg(F.count("*").alias("total_lines"), F.count_if(F.col("y").isNull()).alias("corrupt"), F.count_if(F.col("y") == 0).alias("benign"), F.count_if(F.col("y") == 1).alias("malicious"), F.countDistinct(key).alias("unique_contents"))
+    return read.agg(F.count("*").alias("total_lines"), F.count_if(F.col("y").isNull()).alias("corrupt"), F.count_if(F.col("y") == 0).alias("benign"), F.count_if(F.col("y") == 1).alias("malicious"), F.countDistinct(F.sha2(key, 256)).alias("unique_contents"))
 
 
 @query("agg09_value_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")

@@ -207,13 +207,23 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", F.sha2(tx.flatten("text"), 256).alias("k"))
 
 
-@query("txt19_snippet_pages", "SELECT doc_id, (doc_id % 3)::INTEGER AS page FROM documents")
+THIRDS = r""", th AS (SELECT doc_id, text, (length(text) // 3) AS n FROM documents), pg AS (SELECT doc_id, [left(text, n), substr(text, n + 1, n), substr(text, 2 * n + 1)] AS pages FROM th),
+sn AS (SELECT doc_id, pages, CASE WHEN doc_id % 4 = 3 THEN 'Not on any page: ' || pages[1] ELSE CASE WHEN doc_id % 8 < 4 THEN left(pages[doc_id % 4 + 1], 90) ELSE left(pages[doc_id % 4 + 1], 50) || ' and what no page holds' END END AS s FROM pg)"""
+
+
+@query("txt19_snippet_pages", THIRDS + r""", ft AS (SELECT doc_id, list_transform(pages, lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))) AS pages, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM sn)
+SELECT doc_id, coalesce(list_position(list_transform(pages, lambda p: contains(p, s)), true), list_position(list_transform(pages, lambda p: contains(p, substr(s, 1, 70))), true), list_position(list_transform(pages, lambda p: contains(p, substr(s, 1, 35))), true), 0)::INTEGER AS page FROM ft""")
 def _(spark, d):
+    """Whole texts as three pages, and the beginning of one of them as snippet, with its blanks doubled: whole, with a changed end, or on no page."""
     from ..sources.documents import locate
 
-    k = F.pmod("doc_id", F.lit(3))
-    pages = F.array(F.lit("alpha  beta"), F.lit("gamma\ndelta"))
-    return load(spark, d, "documents").select("doc_id", locate(F.when(k == 0, "zeta").when(k == 1, "alpha beta").otherwise("gamma delta"), pages).cast("int").alias("page"))
+    k, n = F.pmod("doc_id", F.lit(4)), F.floor(F.length("text") / 3).cast("int")
+    pages = F.array(F.substring("text", F.lit(1), n), F.substring("text", n + 1, n), F.substring("text", 2 * n + 1, F.length("text")))
+    page = F.element_at("pages", (k + 1).cast("int"))
+    part = F.when(F.pmod("doc_id", F.lit(8)) < 4, F.left(page, F.lit(90))).otherwise(F.concat(F.left(page, F.lit(50)), F.lit(" and what no page holds")))
+    snippet = F.when(k == 3, F.concat(F.lit("Not on any page: "), F.element_at("pages", 1))).otherwise(part)
+    docs = load(spark, d, "documents").select("doc_id", pages.alias("pages"))
+    return docs.select("doc_id", locate(F.replace(snippet, F.lit(" "), F.lit(" \n ")), "pages").cast("int").alias("page"))
 
 
 @query("txt20_lexical_embedding")
@@ -251,11 +261,15 @@ def _(spark, d):
     return x.select("page_id", "x.domain", "x.subdomain", "x.tld")
 
 
-@query("prj15_file_types", "SELECT doc_id, ['IMAGE', 'PDF', 'CSV', 'HTML', 'JSON', 'TEXT'][doc_id % 6 + 1] AS kind FROM documents")
+@query("prj15_file_types", r"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'IMAGE' WHEN 1 THEN 'PDF' WHEN 2 THEN 'CSV' WHEN 3 THEN 'HTML' ELSE
+  CASE WHEN regexp_matches(text, '(?i)<\s*(?:!--|!doctype|html|body|div|span|p|a|br|table|ul|li|h[1-6]|article|section|script|style|img|meta)\b') THEN 'HTML' WHEN doc_id % 6 = 4 OR regexp_matches(text, '^\s*[{\[]') THEN 'JSON' ELSE 'TEXT' END END AS kind FROM documents""")
 def _(spark, d):
+    """Whole texts as responses: a picture's, a PDF's, a file's by name, within a tag, as a JSON record, and as they are."""
     k = F.pmod("doc_id", F.lit(6))
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k + 1).cast("int"))
-    return load(spark, d, "documents").select("doc_id", hosts.file_type(pick("image", "pdf", "web", "web", "web", "web"), pick("", "", "/a/b.CSV", "/", "/", "/"), F.lit(None).cast("string"), pick("", "", "", "<p>x", " {1}", "x")).alias("kind"))
+    path = F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), pick(".html", ".txt", ".CSV", "", "", ""))
+    raw = F.when(k == 3, F.concat(F.lit("<p>"), "text")).when(k == 4, F.to_json(F.struct("text"))).otherwise(F.col("text"))
+    return load(spark, d, "documents").select("doc_id", hosts.file_type(pick("image", "pdf", "web", "web", "web", "web"), path, F.lit(None).cast("string"), raw).alias("kind"))
 
 
 @query("prj16_source_key", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN 'tool:' || lang ELSE 'unknown' END AS key FROM documents")
@@ -274,12 +288,18 @@ def _(spark, d):
     return load(spark, d, "pages").select("page_id", tx.looks_like_html("html").alias("html"))
 
 
-@query("flt07_hidden_reasons", "SELECT doc_id, ['<script>', 'hidden attribute', 'type=hidden', 'opacity:0', 'offscreen', 'zero-size box', 'class=hide', NULL][doc_id % 8 + 1] AS reason FROM documents")
+@query("flt07_hidden_reasons", f"""SELECT doc_id, CASE WHEN h % 16 = 0 THEN '<script>' WHEN h // 16 % 8 = 0 THEN 'hidden attribute' WHEN h // 128 % 8 = 0 THEN 'type=hidden' WHEN h // 1024 % 4 = 0 THEN 'opacity:0' WHEN h // 4096 % 4 = 0 THEN 'offscreen'
+  WHEN h // 16384 % 4 = 0 THEN 'zero-size box' ELSE 'class=' || list_min(list_intersect(string_split(trim(regexp_replace(lower(text || CASE WHEN h // 65536 % 2 = 0 THEN ' Sr-Only hide' ELSE '' END), '\\s+', ' ', 'g')), ' '), {fixed.HIDING_CLASSES})) END AS reason
+FROM (SELECT doc_id, text, ('0x' || left(sha256(text), 5))::BIGINT AS h FROM documents)""")
 def _(spark, d):
-    k = F.pmod("doc_id", F.lit(8))
-    pick = lambda *v: F.element_at(F.array(*[F.create_map(*map(F.lit, x)) for x in v]), (k + 1).cast("int"))
-    attrs = pick(("a", "b"), ("hidden", ""), ("type", "Hidden"), ("style", "fill-opacity:0;opacity:0"), ("style", "left:-9999px"), ("style", "width:0;overflow:hidden"), ("class", "x hide"), ("style", "color:red"))
-    return load(spark, d, "documents").select("doc_id", tx.hidden_reason(F.when(k == 0, "script").otherwise("div"), attrs).alias("reason"))
+    """Elements with several reasons at once, chosen by a text's digest; the class holds the whole text's words."""
+    h = F.conv(F.left(F.sha2("text", 256), F.lit(5)), 16, 10).cast("long")
+    one = lambda size, n: F.pmod(F.floor(h / size), F.lit(n)) == 0
+    style = F.concat(F.lit("color:red;fill-opacity:0;"), F.when(one(1024, 4), "opacity: 0.0;").otherwise(""), F.when(one(4096, 4), "LEFT:-9999px;").otherwise(""), F.lit("overflow:hidden;"), F.when(one(16384, 4), "width:0").otherwise("width:10px"))
+    names = F.concat("text", F.when(one(65536, 2), " Sr-Only hide").otherwise(""))
+    pairs = [(F.lit(True), "style", style), (F.lit(True), "class", names), (one(16, 8), "hidden", F.lit("")), (one(128, 8), "type", F.lit("Hidden"))]
+    listed = F.filter(F.array(*[F.struct(F.when(on, F.lit(k)).alias("k"), v.alias("v")) for on, k, v in pairs]), lambda x: x["k"].isNotNull())
+    return load(spark, d, "documents").select("doc_id", tx.hidden_reason(F.when(one(1, 16), "script").otherwise("div"), F.map_from_entries(listed)).alias("reason"))
 
 
 @query("flt09_blocklist", "SELECT page_id, CASE WHEN regexp_matches(url, 'example\\.net') THEN 'R1' END AS rule FROM pages")
@@ -427,10 +447,14 @@ def _(spark, d):
     return ad.decide_in_order(CFG, stats)
 
 
-@query("str06_replay", "SELECT doc_id, least(2, 1 + doc_id % 4) AS occurrence, 'd' || least(2, 1 + doc_id % 4) AS delivery FROM documents")
+@query("str06_replay", """, t AS (SELECT doc_id, text, left(sha256(text), 2) AS key FROM documents), k AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS occurrence, sha256(text) AS delivery FROM t WHERE doc_id % 3 = 0)
+SELECT t.doc_id, k.occurrence, k.delivery FROM t JOIN (SELECT key, max(occurrence) AS last FROM k GROUP BY key) c USING (key) JOIN k ON k.key = t.key AND k.occurrence = least(c.last, 1 + t.doc_id % 7)""")
 def _(spark, d):
-    kept = spark.createDataFrame([("k", 1, "d1"), ("k", 2, "d2")], "key string, occurrence long, delivery string")
-    asked = load(spark, d, "documents").select("doc_id", F.lit("k").alias("key"), (1 + F.pmod("doc_id", F.lit(4))).alias("occurrence"))
+    """Every third document recorded as a delivery of its tool (of 256), and all of them asked for again."""
+    docs = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("delivery")).withColumn("key", F.left("delivery", F.lit(2)))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("doc_id")).cast("long")
+    kept = docs.where(F.pmod("doc_id", F.lit(3)) == 0).select("key", nth.alias("occurrence"), "delivery")
+    asked = docs.select("doc_id", "key", (1 + F.pmod("doc_id", F.lit(7))).alias("occurrence"))
     return ad.replay(kept, asked, "key").select("doc_id", "occurrence", "delivery")
 
 
@@ -441,10 +465,13 @@ def _(spark, d):
     return scored(spark, d).select("doc_id", F.round(F.col("t") * 100, 2).alias("percent"))
 
 
-@query("prj21_notices", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {q(CFG.reject_notice)} WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN {q(CFG.caution_notice)} ELSE {q(CFG.sanitize_notice)} END END AS told FROM documents")
+@query("prj21_notices", PLANTED + f""", n AS (SELECT doc_id, {KEYWORD} AS t, (length(text) - length(replace(text, payload, ''))) // length(payload) AS found FROM pl)
+SELECT doc_id, CASE WHEN t >= 0.7 THEN {q(CFG.reject_notice)} WHEN t >= 0.3 OR doc_id % 4 = 1 THEN CASE WHEN found = 0 THEN {q(CFG.caution_notice)} ELSE {q(CFG.sanitize_notice)} END END AS told FROM n""")
 def _(spark, d):
-    k = F.pmod("doc_id", F.lit(3))
-    return load(spark, d, "documents").select("doc_id", policy.notice(CFG, F.when(k == 0, "REJECT").when(k == 1, "SANITIZE").otherwise("ACCEPT"), F.pmod("doc_id", F.lit(2)), F.lit(0)).alias("told"))
+    """What is told of whole planted texts by their score; a fourth of those that score low is sanitised all the same."""
+    t, found = detect.keyword_score("text"), F.regexp_count("text", F.concat(F.lit("\\Q"), "payload", F.lit("\\E")))
+    action = F.when(t >= 0.7, "REJECT").when((t >= 0.3) | (F.pmod("doc_id", F.lit(4)) == 1), "SANITIZE").otherwise("ACCEPT")
+    return planted(spark, d).select("doc_id", policy.notice(CFG, action, found, F.lit(0)).alias("told"))
 
 
 @query("snk06_agent_view", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'told' WHEN 1 THEN lang || chr(10) || chr(10) || 'told' ELSE lang END AS view FROM documents")
