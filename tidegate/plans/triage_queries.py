@@ -10,6 +10,7 @@ from ..operators import metrics as m
 from ..streaming import adaptive as ad
 from .pipeline import filter_content, sanitise, text_threat, triage, with_gated_threat
 from .plant import HIDING, PAYLOADS, plant_documents, plant_pages, threats
+from .predict import assess_predictions, predict
 from .registry import WITH, load, query, rounded
 
 CFG = DefenseConfig()
@@ -346,6 +347,44 @@ def _(spark, d):
     return p.select("page_id", ((F.col("concealed_text") != "") & ((detect.signature_score("concealed_text", normalise=False) >= 0.7) | (detect.keyword_score("concealed_text") >= 0.5))).alias("concealed"))
 
 
+# ------------------------------------------------------------------ predictions
+HASHED = "(('0x' || substr(md5('img/' || doc_id || '.png'), 1, 8))::BIGINT % 1001) / 1000::DOUBLE"
+JUDGED = PLANTED + f""", w AS (SELECT *, ['pdf', 'web', 'image', 'text'][doc_id % 4 + 1] AS domain, doc_id % 8 = 2 AS readable FROM pl), s AS (SELECT doc_id, domain, CASE WHEN domain <> 'image' OR readable THEN {KEYWORD} END AS t,
+  CASE WHEN domain = 'image' THEN {HASHED} END AS v, (('0x' || substr(md5('a' || doc_id), 1, 8))::BIGINT % 1001) / 1000::DOUBLE AS a FROM w)"""
+
+
+def records_to_judge(spark, d):
+    """Whole planted texts as PDFs, pages, pictures (every other one with words that can be read) and plain texts."""
+    i, x = F.col("doc_id"), planted(spark, d)
+    domain = F.element_at(F.array(*map(F.lit, ("pdf", "web", "image", "text"))), (F.pmod(i, F.lit(4)) + 1).cast("int"))
+    path = F.concat(F.lit("img/"), i.cast("string"), F.lit(".png"))
+    return x.select("doc_id", domain.alias("domain"), "text", F.concat(F.lit("find "), "lang").alias("user_intent"), path.alias("image_path"), F.when(F.pmod(i, F.lit(8)) == 2, F.col("text")).alias("ocr_text"), detect.hash_score(i, "a").alias("a"))
+
+
+@query("det08_predictions", JUDGED + " SELECT doc_id, domain, t AS text_threat, v AS visual_threat, (coalesce(v, t) >= 0.5)::INTEGER AS prediction FROM s")
+def _(spark, d):
+    x = predict(records_to_judge(spark, d))
+    return x.select("doc_id", "domain", F.when(F.col("domain") == "image", F.col("result.text_branch.malicious_probability")).otherwise(F.col("result.malicious_probability")).alias("text_threat"), F.col("result.visual_branch.malicious_probability").alias("visual_threat"), "result.prediction")
+
+
+@query("det10_trusted_predictions", JUDGED + """, f AS (SELECT *, 1 - (1 - coalesce(t, 0)) * (1 - coalesce(v, 0)) AS b, CASE WHEN t IS NULL THEN 1 ELSE a END AS al FROM s), r AS (SELECT *, least(1, b + 0.5::DOUBLE * (1 - al) * b * (1 - b)) AS risk FROM f)
+SELECT doc_id, round(risk, 6) AS risk, CASE WHEN risk < 0.3 THEN 'ACCEPT' WHEN risk >= 0.7 THEN 'REJECT' ELSE 'SANITIZE' END AS decision FROM r""")
+def _(spark, d):
+    x = assess_predictions(predict(records_to_judge(spark, d)), alignment="a")
+    return x.select("doc_id", F.round("trust.risk", 6).alias("risk"), "trust.decision")
+
+
+@query("src18_requests", """SELECT doc_id AS seq, CASE doc_id % 7 WHEN 0 THEN 'bad_modality' WHEN 1 THEN 'not_json' WHEN 2 THEN 'no_image' WHEN 3 THEN 'bad_image' END AS problem, sha256(text) AS content FROM documents WHERE doc_id % 7 <> 1 UNION ALL SELECT NULL, 'not_json', NULL FROM documents WHERE doc_id % 7 = 1""")
+def _(spark, d):
+    """Whole documents as requests, some of which can't be served by rule."""
+    from ..sources.ingest import requests
+
+    k = F.pmod("doc_id", F.lit(7))
+    record = F.struct(F.col("doc_id").alias("seq"), F.col("text").alias("content"), F.when(k == 0, "video").when(k.isin(2, 3, 4), "image").alias("modality"), F.when(k == 3, "*").when(k == 4, F.base64(F.encode("text", "UTF-8"))).alias("image_base64"))
+    lines = load(spark, d, "documents").select(F.concat(F.when(k == 1, "[").otherwise(""), F.to_json(record)).alias("line"))
+    return requests(lines).select("seq", "problem", F.sha2("content", 256).alias("content"))
+
+
 @query("det05_injection_score", "SELECT doc_id, greatest(t, v, a) AS score FROM scored")
 def _(spark, d):
     from .registry import scored
