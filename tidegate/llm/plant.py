@@ -1,4 +1,4 @@
-"""Tool calls planted by rule into conversations that hold none."""
+"""Tool calls and damage planted by rule into conversations that hold none."""
 
 from __future__ import annotations
 
@@ -34,3 +34,18 @@ def plant_calls(conversations: DataFrame) -> DataFrame:
     result = F.concat(F.lit('{"tool_call_id":"'), asked, F.col("turn").cast("string"), F.lit('","content":"r'), F.col("turn").cast("string"), F.lit('"}'))
     results = rows.where((F.col("kind") != 6) & (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) != 0)).select("conv_id", "turn", F.lit("tool").alias("role"), result.alias("text"))
     return said.unionByName(results)
+
+
+def damage(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text, present) of damaged conversations; nulls of role and text are one space.
+
+    By crc32 of conv_id:turn modulo 20: 0 takes a row out (present is false), 1 empties its text, 2 takes its .!? out,
+    3 repeats it, 4 makes its role user.
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20
+    role = F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    text = F.coalesce("text", F.lit(" "))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    times = F.when(kind == 3, F.array(F.lit(True), F.lit(True))).otherwise(F.array(kind != 0))
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("present"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embdedup, langid, linededup, minhash, mixing, plant, rlz, tokencount, topk
+from . import bpe, chat, embdedup, langid, linededup, minhash, mixing, plant, repair, resample, rlz, tokencount, tokenfiles, topk
 from .common import load
 
 SQL: dict[str, str] = {}
@@ -205,4 +205,94 @@ FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id) L
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_minhash_dedup, op4_language_id, op5_token_counts, op6_embedding_dedup, op7_bpe, op8_chat_format, op9_substring_dedup, op10_line_dedup)}
+def op11_conversation_repair(spark, sf_dir):
+    out = repair.repair_conversations(plant.damage(load(spark, sf_dir, "conversations")), present_col="present")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+#: The 256 remainders of CRC-32, by its rule, as one list.
+_CRC = """
+crc_step(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM crc_step WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM crc_step WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes; needs crc in FROM."""
+    each = f"list_transform(range(1, 2 * strlen({text}), 2), lambda p: ('0x' || substr(hex(encode({text})), p, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce({each}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"
+
+
+SQL["op11_conversation_repair"] = f"""
+WITH RECURSIVE {_CRC}, o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), h AS (SELECT o.*, {_crc32("k")} % 20 AS d FROM o, crc),
+x AS (
+  SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(2) c(j) WHERE d <> 0 AND (j = 0 OR d = 3)
+), y AS (
+  SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z FROM x
+), r AS (
+  SELECT *, z = '' AS blank, z <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS dup, lead(i) OVER (PARTITION BY conv_id ORDER BY n) AS after FROM y
+), s AS (
+  SELECT conv_id, count(*) AS len, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate,
+    count_if(NOT blank AND NOT dup AND z NOT IN ('.', '!', '?')) AS truncated, count_if(after IS NOT NULL AND i || after NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+), step(conv_id, n, last, cost, audit, said) AS (
+  SELECT conv_id, 0, '^', 0, '', []::VARCHAR[] FROM s
+  UNION ALL
+  SELECT conv_id, n, last, w.cost, w.audit, w.said FROM (
+    SELECT p.conv_id, p.n + 1 AS n, e.last, min({{'cost': p.cost + a.cost + e.cost, 'audit': p.audit || a.c || e.c, 'said': p.said || a.said || e.said}}) AS w
+    FROM step p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = p.n + 1,
+      LATERAL (
+        SELECT 0 AS cost, '' AS c, []::VARCHAR[] AS said, p.last AS last
+        UNION ALL SELECT 2, 'I', [CASE WHEN p.last = 'u' THEN 'assistant:' ELSE 'user:' END], CASE WHEN p.last = 'u' THEN 'a' ELSE 'u' END
+      ) a,
+      LATERAL (
+        SELECT 3 AS cost, 'D' AS c, []::VARCHAR[] AS said, a.last AS last
+        UNION ALL SELECT CASE WHEN z IN ('.', '!', '?') THEN 0 ELSE 1 END, 'K', [role || ':' || text], i WHERE NOT blank AND NOT dup AND a.last || i IN ('^s', '^u', 'su', 'ua', 'au')
+        UNION ALL SELECT CASE WHEN z IN ('.', '!', '?') THEN 2 ELSE 3 END, 'R', [v || ':' || text], left(v, 1) FROM (VALUES ('user'), ('assistant')) t(v) WHERE NOT blank AND NOT dup AND a.last || left(v, 1) IN ('^u', 'su', 'ua', 'au')
+      ) e
+    GROUP BY p.conv_id, p.n, e.last
+  )
+), done AS (
+  SELECT s.conv_id, min({{'cost': p.cost + f.cost, 'audit': p.audit || f.c, 'said': p.said || f.said}}) AS w
+  FROM s JOIN step p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.n = s.len
+    JOIN (VALUES ('^', 0, '', []::VARCHAR[]), ('a', 0, '', []), ('u', 2, 'I', ['assistant:']), ('s', 4, 'II', ['user:', 'assistant:'])) f(last, cost, c, said) ON f.last = p.last
+  GROUP BY s.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.cost, 0)::BIGINT AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM o) o LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+SQL["op12_importance_resampling"] = f"""
+WITH RECURSIVE {_CRC}, d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), dw AS (SELECT r, unnest(w) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+word AS (SELECT w, {_crc32("w")} % 10000 AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw) v, crc),
+s AS (SELECT b, count(*) AS n FROM dw JOIN word USING (w) GROUP BY b), t AS (SELECT b, count(*) AS n FROM bw JOIN word USING (w) GROUP BY b),
+gain AS (
+  SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000))))::BIGINT AS g
+  FROM (SELECT DISTINCT b FROM word) LEFT JOIN s USING (b) LEFT JOIN t USING (b)
+), m AS (SELECT r, sum(g) AS g FROM dw JOIN word USING (w) JOIN gain USING (b) GROUP BY r),
+e AS (
+  SELECT d.r, doc_id, len(w)::BIGINT AS n_features, coalesce(floor(m.g::DOUBLE / len(w)), 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM d LEFT JOIN m USING (r)
+), f AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS FIRST) AS k, count(*) OVER () AS n FROM e WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank FROM e LEFT JOIN f USING (r)
+"""
+
+
+def op13_token_files(spark, sf_dir):
+    return tokenfiles.token_files(load(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_minhash_dedup, op4_language_id, op5_token_counts, op6_embedding_dedup, op7_bpe, op8_chat_format, op9_substring_dedup, op10_line_dedup, op11_conversation_repair, op12_importance_resampling, op13_token_files)}
