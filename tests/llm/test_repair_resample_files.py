@@ -171,7 +171,7 @@ def library():
 
 TEXTS = [
     "Hello  World, it's 2024!", None, "", " \n\t ", "a\x0bb\x0cc\x1cd e f\u0085g", "<|endoftext|> x<|startoftext|>y <| endoftext|>", "ΟΔΟΣ ΣΑΣ İstanbul ﬁ Å é é ́ x ́y", "日本語 テスト 👩‍👩‍👧 \U000e0041",
-    "x" * 30_000, "don't DON'T 'S 's'", "​ ﻿ a", "1234 12.5 ½ Ⅷ", "\r\n\r\nq", "\x00 nul \x00", "word " * 20_000,
+    "x" * 30_000, "don't DON'T 'S 's'", "İ. Word, WORD. wordİ, é. É!? É.\u0307 a.\u0338 <|ENDOFTEXT|>. <|endoftext|>. x<|endoftext|>Y, 1. 2.) ok.) Ω. ŉ.", "​ ﻿ a", "1234 12.5 ½ Ⅷ", "\r\n\r\nq", "\x00 nul \x00", "word " * 20_000,
 ]
 
 
@@ -207,7 +207,7 @@ def test_files_are_pruned(spark, tmp_path):
     path, _ = library()
     df = spark.range(0, 60_000, 2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.hex(F.xxhash64("id", F.lit(i))) for i in range(8)]).alias("text"))
     at = f"{tmp_path}/ids"
-    tokenfiles.write_ids(tokenfiles.encode_ids(df, path, 2), at)
+    tokenfiles.write_ids(df, path, 2, at)
     files = sorted(tmp_path.glob("ids/*.orc"))
     own = [orc.ORCFile(f) for f in files]
     assert sum(f.nrows for f in own) == 30_000 and len(files) > 1 and max(f.nstripes for f in own) >= 1

@@ -7,10 +7,10 @@ with least and greatest values for each few thousand rows and Bloom filters on
 document ids.  So readers share files out by stripes, and a look-up of documents
 skips what can't hold them.
 
-Encoding takes the tokenizers library.  A text is cut at single ASCII blanks,
-where this vocabulary's words end anyway, and each different piece is encoded once
-for each batch; so memory is bounded by a batch, not by the library's records of a
-very long text.
+Encoding takes the tokenizers library.  A text is cut at single ASCII blanks and
+before the marks that end a word, where this vocabulary's words end anyway, and each different piece is
+encoded once for some megabytes of texts; so memory is bounded by a batch, not by the
+library's records of a very long text.
 
 Defined cases: null and empty texts have the end id alone; null ids come first;
 rows of one id follow one another in an order that depends on their texts, and many
@@ -20,6 +20,8 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import uuid
 import zlib
 
@@ -28,105 +30,148 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import _written, parts_for, shared_dir, table
+from .common import _written, parts_for, shared_dir
 
 #: Cut points: white space for every pattern that could be told it, so no word goes across.
 BLANKS = r"[ \t\n\r]+"
-#: Pieces that the library gets at once, and those that a worker remembers.
-AT_ONCE, REMEMBERED = 2_000, 400_000
-_memo: dict[str, tuple[object, dict[str, np.ndarray]]] = {}
+#: The marks after a word's last letter are a word of their own; only letters that stay one letter in lower case.
+TAIL = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}])([.,;:!?]+)$"
+#: Pieces that the library gets at once, those that a worker remembers, and bytes of texts encoded together.
+AT_ONCE, REMEMBERED, SLICE = 2_000, 500_000, 8 << 20
+_known: dict[str, "_Words"] = {}
 
 
-def _library(path: str, key: str, content: str):
-    """The tokenizer of a worker, and what it has encoded."""
-    if key not in _memo:
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_str(content)
-        made.no_truncation()
-        made.no_padding()
-        _memo[key] = made, {}
-    return _memo[key]
+class _Words:
+    """A worker's tokenizer, and the ids of the pieces that it has encoded."""
 
+    def __init__(self, content: str):
+        from tokenizers import Tokenizer
 
-def _encode(texts: pa.Array, own, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        self.own = Tokenizer.from_str(content)
+        self.own.no_truncation()
+        self.own.no_padding()
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.ends = np.zeros(1, np.int64)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece; its ids are ids[ends[number] : ends[number + 1]]."""
+        if len(self.number) + len(pieces) > REMEMBERED + len(pieces) * (not self.number):
+            self.forget()
+        known = self.number
+        fresh = [p for p in pieces if p not in known]
+        sizes, made = [], []
+        for at in range(0, len(fresh), AT_ONCE):
+            for e in self.own.encode_batch_fast(fresh[at : at + AT_ONCE], add_special_tokens=False):
+                ids = e.ids
+                made += ids
+                sizes.append(len(ids))
+        known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+        used = int(self.ends[-1])
+        if used + len(made) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(made)), np.int32)])
+        self.ids[used : used + len(made)] = made
+        self.ends = np.concatenate([self.ends, used + np.cumsum(np.array(sizes, np.int64))])
+        return np.array([known[p] for p in pieces], np.int64)
+
+
+def _spread(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """ids[first : first + size] of each, end to end."""
+    ends = np.cumsum(size)
+    return ids[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _encode(texts: pa.Array, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts end to end, their numbers): every different piece once."""
     pieces = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), pattern=BLANKS)
     if isinstance(pieces, pa.ChunkedArray):
         pieces = pieces.combine_chunks()
     bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
     coded = pieces.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    fresh = [w for w in words if w not in known]
-    for at in range(0, len(fresh), AT_ONCE):
-        some = fresh[at : at + AT_ONCE]
-        for w, e in zip(some, own.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.int32)
-    of_word = [known[w] for w in words]
-    if len(known) > REMEMBERED:
-        known.clear()
-    size = np.array([len(x) for x in of_word], np.int64)
-    flat = np.concatenate(of_word) if of_word else np.zeros(0, np.int32)
-    first = np.cumsum(size) - size
+    whole = coded.dictionary
+    stem = pc.replace_substring_regex(whole, pattern=TAIL, replacement=r"\1")
+    n_stem, n_whole = pc.binary_length(stem).to_numpy(zero_copy_only=False), pc.binary_length(whole).to_numpy(zero_copy_only=False)
+    marked = np.flatnonzero(n_stem < n_whole)
+    tail = [w[len(s) :] for w, s in zip(whole.take(pa.array(marked)).to_pylist(), stem.take(pa.array(marked)).to_pylist(), strict=True)]
+    lower = pc.if_else(pc.match_substring(stem, "<|"), stem, pc.ascii_lower(stem))  # special tokens are told by case
+    stems = lower.dictionary_encode()
+    number = words.numbers([*stems.dictionary.to_pylist(), *(tails := list(dict.fromkeys(tail)))])
+    own = number[: len(stems.dictionary)][stems.indices.to_numpy(zero_copy_only=False)]
+    of_tail = dict(zip(tails, number[len(stems.dictionary) :], strict=True))
+    # each different word is one or two pieces
+    two = np.zeros(len(whole), np.int64)
+    two[marked] = 1
+    at = np.arange(len(whole)) + np.cumsum(two) - two
+    parts = np.zeros(len(whole) + len(marked), np.int64)
+    parts[at], parts[at[marked] + 1] = own, [of_tail[t] for t in tail]
+    size = words.ends[parts + 1] - words.ends[parts]
+    flat = _spread(words.ids, words.ends[parts], size)
+    word_ends = np.concatenate([[0], np.cumsum(size)])
+    first, last = word_ends[at], word_ends[at + 1 + two]
     code = coded.indices.to_numpy(zero_copy_only=False)
-    times = size[code]
-    ends = np.concatenate([[0], np.cumsum(times)])
-    ids = flat[np.repeat(first[code] - ends[:-1], times) + np.arange(ends[-1])] if len(code) else flat
-    return ids, np.diff(ends[bounds])
+    times = (last - first)[code]
+    ids = _spread(flat, first[code], times)
+    return ids, np.diff(np.concatenate([[0], np.cumsum(times)])[bounds])
 
 
-def encode_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (array of int, end id last) of every row.  The tokenizer's file is read on the driver and sent; it bounds its own size."""
-    import hashlib
+def _encoder(docs: DataFrame, path: str, end_id: int):
+    """A function for mapInArrow over (id, text, ...): id, begin, n, ids and the columns after text.
 
+    The tokenizer's file is read on the driver and sent; it bounds its own size.
+    """
     with open(path, encoding="utf-8") as f:
         content = f.read()
     key = hashlib.sha256(content.encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(content)
 
     def encode(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own, known = _library(path, key, sent.value)
+        if key not in _known:
+            _known[key] = _Words(sent.value)
+        before = 0
         for batch in batches:
             at = 0
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            while at < batch.num_rows:  # some 4 MB of texts at a time
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (4 << 20), "right")))
-                ids, n = _encode(batch.column(1).slice(at, to - at), own, known)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
+                ids, n = _encode(batch.column(1).slice(at, to - at), _known[key])
                 with_end = np.insert(ids, np.cumsum(n), end_id).astype(np.int32)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n + 1)]), pa.int32())
-                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(offsets, pa.array(with_end))], names=["id", "ids"])
+                ends = np.concatenate([[0], np.cumsum(n + 1)])
+                rows = batch.slice(at, to - at)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(with_end))
+                yield pa.record_batch([rows.column(0), pa.array(before + ends[:-1]), pa.array(n + 1), lists, *rows.columns[2:]], names=["id", "begin", "n", "ids", *rows.schema.names[2:]])
+                before += int(ends[-1])
                 at = to
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"id {kind}, ids array<int>")
+    return encode
 
 
-def write_ids(encoded: DataFrame, path: str, file_bytes: int = 64 << 20) -> None:
-    """Write (id, ids) as ORC: ids in ascending order over the files, which are numbered in the column `file`.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    Rows are dealt by ranges of (id, digest, place), so no id, however often it occurs, must fit one file.
-    """
-    placed = table(encoded.withColumn("place", F.monotonically_increasing_id()), "encoded")
-    digest = F.xxhash64("ids").alias("digest")
-    order = [F.col("id").asc_nulls_first(), F.col("digest"), F.col("place")]
-    dealt = placed.select("*", digest).repartitionByRange(parts_for(placed, file_bytes), *order).sortWithinPartitions(*order)
 
-    def begin(batches):
-        """Adds where a document's ids begin in its file."""
-        before = 0
-        for batch in batches:
-            n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = before + np.cumsum(n)
-            before = int(ends[-1]) if len(ends) else before
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ends - n), pa.array(n), batch.column(1)], names=["id", "file", "begin", "n", "ids"])
+def encode_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and ids (array of int, end id last) of every row."""
+    rows = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(_encoder(docs, path, end_id), f"id {rows.schema['id'].dataType.simpleString()}, begin long, n long, ids array<int>").select("id", "ids")
+
 
-    kind = encoded.schema["id"].dataType.simpleString()
-    rows = dealt.select("id", "ids", F.spark_partition_id().alias("file")).mapInArrow(begin, f"id {kind}, file int, begin long, n long, ids array<int>")
-    rows.write.options(**{"orc.bloom.filter.columns": "id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(8 << 20), "compression": "zstd"}).orc(path)
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 64 << 20) -> None:
+    """Encode docs into ORC files at path: ids in ascending order over the files, which are numbered in the column `file`.
+
+    Rows are dealt by ranges of (id, digest, place), so no id, however often it
+    occurs, must fit one file; they are encoded where they are written.
+    """
+    rows = _rows(docs, id_col, text_col).withColumns({"digest": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    order = [F.col("id").asc_nulls_first(), F.col("digest"), F.col("place")]
+    dealt = rows.repartitionByRange(parts_for(docs, file_bytes), *order).sortWithinPartitions(*order)
+    kind = rows.schema["id"].dataType.simpleString()
+    made = dealt.select("id", "text", F.spark_partition_id().alias("file")).mapInArrow(_encoder(docs, tokenizer, end_id), f"id {kind}, begin long, n long, ids array<int>, file int")
+    options = {"orc.bloom.filter.columns": "id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(8 << 20), "compression": "zstd"}
+    made.write.options(**options).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str, among: list[int] | None = None) -> DataFrame:
@@ -166,7 +211,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
     if path is None:
         path = f"{shared_dir(spark)}/tidegate-{uuid.uuid4().hex}-token-ids"
         _written.append((spark, path))
-    write_ids(encode_ids(docs, tokenizer, end_id, id_col, text_col), path)
+    write_ids(docs, tokenizer, end_id, path, id_col, text_col)
     rows = read_ids(spark, path)
     out = checksums(rows).join(file_starts(rows), "file")
     return out.select(F.col("id").alias(id_col), (F.col("before") + F.col("begin")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32")
