@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 
@@ -30,14 +31,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import _written, parts_for, shared_dir
+from .bpe import byte_alphabet
+from .common import _written, parts_for, shared_dir, text_slices
 
-#: Cut points: white space for every pattern that could be told it, so no word goes across.
-BLANKS = r"[ \t\n\r]+"
 #: The marks after a word's last letter are a word of their own; only letters that stay one letter in lower case.
 TAIL = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}])([.,;:!?]+)$"
 #: Pieces that the library gets at once, those that a worker remembers, and bytes of texts encoded together.
-AT_ONCE, REMEMBERED, SLICE = 2_000, 500_000, 8 << 20
+AT_ONCE, REMEMBERED, SLICE = 2_000, 1_000_000, 8 << 20
+#: A piece of small letters alone is one word whatever the normal form and the pattern: it goes straight to the library's merges.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+BYTES = {c: "".join(byte_alphabet()[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+_TO_SPACE = np.arange(256, dtype=np.uint8)
+_TO_SPACE[[0x09, 0x0A, 0x0D]] = 0x20
 _known: dict[str, "_Words"] = {}
 
 
@@ -50,6 +55,7 @@ class _Words:
         self.own = Tokenizer.from_str(content)
         self.own.no_truncation()
         self.own.no_padding()
+        self.merge = self.own.model.tokenize
         self.forget()
 
     def forget(self) -> None:
@@ -57,25 +63,34 @@ class _Words:
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1, np.int64)
 
-    def numbers(self, pieces: list[str]) -> np.ndarray:
-        """The number of each piece; its ids are ids[ends[number] : ends[number + 1]]."""
+    def numbers(self, stems: list[str], tails: list[str]) -> np.ndarray:
+        """The number of each piece, stems first; its ids are ids[ends[number] : ends[number + 1]]."""
+        pieces = list(dict.fromkeys([*stems, *tails]))
         if len(self.number) + len(pieces) > REMEMBERED + len(pieces) * (not self.number):
             self.forget()
         known = self.number
         fresh = [p for p in pieces if p not in known]
         sizes, made = [], []
-        for at in range(0, len(fresh), AT_ONCE):
-            for e in self.own.encode_batch_fast(fresh[at : at + AT_ONCE], add_special_tokens=False):
-                ids = e.ids
-                made += ids
-                sizes.append(len(ids))
-        known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+        plain = [p for p in fresh if PLAIN(p)]
+        for p in plain:
+            ids = [t.id for t in self.merge(p if p.isascii() else p.translate(BYTES))]
+            made += ids
+            sizes.append(len(ids))
+        if len(plain) < len(fresh):
+            other = [p for p in fresh if not PLAIN(p)]
+            for at in range(0, len(other), AT_ONCE):
+                for e in self.own.encode_batch_fast(other[at : at + AT_ONCE], add_special_tokens=False):
+                    ids = e.ids
+                    made += ids
+                    sizes.append(len(ids))
+            plain += other
+        known.update(zip(plain, range(len(known), len(known) + len(plain)), strict=True))
         used = int(self.ends[-1])
         if used + len(made) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(made)), np.int32)])
         self.ids[used : used + len(made)] = made
         self.ends = np.concatenate([self.ends, used + np.cumsum(np.array(sizes, np.int64))])
-        return np.array([known[p] for p in pieces], np.int64)
+        return np.array([known[p] for p in [*stems, *tails]], np.int64)
 
 
 def _spread(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -84,29 +99,29 @@ def _spread(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ids[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _encode(texts: pa.Array, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+def _encode(offsets: np.ndarray, data: np.ndarray, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts end to end, their numbers): every different piece once."""
-    pieces = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), pattern=BLANKS)
-    if isinstance(pieces, pa.ChunkedArray):
-        pieces = pieces.combine_chunks()
+    texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(_TO_SPACE[data])])
+    pieces = pc.split_pattern(texts, pattern=" ")
     bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
     coded = pieces.flatten().dictionary_encode()
     whole = coded.dictionary
     stem = pc.replace_substring_regex(whole, pattern=TAIL, replacement=r"\1")
     n_stem, n_whole = pc.binary_length(stem).to_numpy(zero_copy_only=False), pc.binary_length(whole).to_numpy(zero_copy_only=False)
     marked = np.flatnonzero(n_stem < n_whole)
-    tail = [w[len(s) :] for w, s in zip(whole.take(pa.array(marked)).to_pylist(), stem.take(pa.array(marked)).to_pylist(), strict=True)]
+    tail = pc.replace_substring_regex(whole.take(pa.array(marked)), pattern=r"(?s)^.*[^.,;:!?]", replacement="").dictionary_encode()
     lower = pc.if_else(pc.match_substring(stem, "<|"), stem, pc.ascii_lower(stem))  # special tokens are told by case
     stems = lower.dictionary_encode()
-    number = words.numbers([*stems.dictionary.to_pylist(), *(tails := list(dict.fromkeys(tail)))])
-    own = number[: len(stems.dictionary)][stems.indices.to_numpy(zero_copy_only=False)]
-    of_tail = dict(zip(tails, number[len(stems.dictionary) :], strict=True))
+    different = stems.dictionary.to_pylist()
+    number = words.numbers(different, tail.dictionary.to_pylist())
+    own = number[: len(different)][stems.indices.to_numpy(zero_copy_only=False)]
+    of_tail = number[len(different) :][tail.indices.to_numpy(zero_copy_only=False)]
     # each different word is one or two pieces
     two = np.zeros(len(whole), np.int64)
     two[marked] = 1
     at = np.arange(len(whole)) + np.cumsum(two) - two
     parts = np.zeros(len(whole) + len(marked), np.int64)
-    parts[at], parts[at[marked] + 1] = own, [of_tail[t] for t in tail]
+    parts[at], parts[at[marked] + 1] = own, of_tail
     size = words.ends[parts + 1] - words.ends[parts]
     flat = _spread(words.ids, words.ends[parts], size)
     word_ends = np.concatenate([[0], np.cumsum(size)])
@@ -133,18 +148,14 @@ def _encoder(docs: DataFrame, path: str, end_id: int):
             _known[key] = _Words(sent.value)
         before = 0
         for batch in batches:
-            at = 0
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
-                ids, n = _encode(batch.column(1).slice(at, to - at), _known[key])
+            for at, offsets, data in text_slices(batch.column(1), SLICE):
+                ids, n = _encode(offsets, data, _known[key])
                 with_end = np.insert(ids, np.cumsum(n), end_id).astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum(n + 1)])
-                rows = batch.slice(at, to - at)
+                rows = batch.slice(at, len(n))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(with_end))
                 yield pa.record_batch([rows.column(0), pa.array(before + ends[:-1]), pa.array(n + 1), lists, *rows.columns[2:]], names=["id", "begin", "n", "ids", *rows.schema.names[2:]])
                 before += int(ends[-1])
-                at = to
 
     return encode
 
