@@ -24,7 +24,7 @@ class Profile:
 @dataclass(frozen=True)
 class TrustConfig:
     chunk_chars: int = 600
-    max_chunks: int = 32
+    max_chunks: int = 0  # 0: all; else at most so many, evenly spaced
     chunk_aggregation: str = "mean"
     cosine_floor: float = 0.0
     cosine_ceil: float = 1.0
@@ -72,7 +72,7 @@ class DefenseConfig:
     window_domains: tuple = ("web", "pdf", "text")
     window_tokens: int = 200
     window_stride: int = 150
-    max_windows: int = 256
+    max_windows: int = 0  # 0: all; else at most so many, evenly spaced
     escalate_pattern_score: float = 0.7
     concealed_model_threshold: float = 0.5
     concealed_pattern_threshold: float = 0.7

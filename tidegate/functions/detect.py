@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from . import fixed
-from .text import _c, any_of, fold, strip
+from . import fixed, scan
+from .text import _c, any_of
 
 
 def noisy_or(scores) -> Column:
@@ -19,55 +19,23 @@ def noisy_or(scores) -> Column:
     return 1 - F.aggregate(_c(scores), F.lit(1.0), lambda p, x: p * (1 - x))
 
 
-def _read_once(text, normalise: bool, folded: bool, body: Callable[[Callable[[str, str], Column], Column], Column]) -> Column:
-    """body(fires, text) over a text that is folded and lowered once; fires(id, pattern) looks for a signature's
-    anchors before its pattern, so most patterns never run."""
-    x = _c(text) if folded else fold(text, normalise)
-
-    def inside(t):
-        def fires(name: str, pattern: str) -> Column:
-            match = any_of(t["f"], f"(?i){pattern}")
-            anchors = fixed.ANCHORS.get(name, "").split()
-            return reduce(lambda a, b: a | b, [F.contains(t["l"], F.lit(w)) for w in anchors]) & match if anchors else match
-
-        return body(fires, t["f"])
-
-    return F.transform(F.array(F.struct(x.alias("f"), F.lower(x).alias("l"))), inside)[0]
-
-
 def signature_hits(text, signatures=fixed.SIGNATURES, normalise: bool = True, folded: bool = False) -> Column:
     """array of (id, category, severity, match): the first match of each signature that fires, in the folded text."""
-
-    def body(fires, t):
-        found = [F.when(fires(i, p), F.struct(F.lit(i).alias("id"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.substring(F.regexp_extract(t, f"(?i)({p})", 1), 1, 120).alias("match"))) for i, c, s, p, _ in signatures]
-        return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-    return _read_once(text, normalise, folded, body)
+    return scan.hits_column(_c(text), tuple(signatures), not folded, normalise)
 
 
 def signature_score(text, signatures=fixed.SIGNATURES, normalise: bool = True, folded: bool = False) -> Column:
     """Noisy-or of the severities that fire; 0 if none does.  folded: the text has been folded."""
-
-    def body(fires, _):
-        return 1 - reduce(lambda q, x: q * F.when(fires(x[0], x[3]), F.lit(1.0) - F.lit(x[2])).otherwise(1.0), signatures, F.lit(1.0))
-
-    return _read_once(text, normalise, folded, body)
+    return scan.score_column(_c(text), tuple(signatures), not folded, normalise)
 
 
 def signatures_found(text, signatures=fixed.SIGNATURES, normalise: bool = True, folded: bool = False) -> Column:
     """array of (id, severity) of the signatures that fire, in one reading of the text; ids and score follow from it."""
-
-    def body(fires, _):
-        return F.filter(F.array(*[F.when(fires(i, p), F.struct(F.lit(i).alias("id"), F.lit(s).alias("severity"))) for i, _, s, p, _ in signatures]), lambda x: x.isNotNull())
-
-    return _read_once(text, normalise, folded, body)
+    return scan.found_column(_c(text), tuple(signatures), not folded, normalise)
 
 
 def signature_ids(text, signatures=fixed.SIGNATURES, normalise: bool = True, folded: bool = False) -> Column:
-    def body(fires, _):
-        return F.filter(F.array(*[F.when(fires(i, p), F.lit(i)) for i, _, _, p, _ in signatures]), lambda x: x.isNotNull())
-
-    return _read_once(text, normalise, folded, body)
+    return F.transform(signatures_found(text, signatures, normalise, folded), lambda x: x["id"])
 
 
 def categories(hits) -> Column:
@@ -80,9 +48,7 @@ def signature_table(spark: SparkSession) -> DataFrame:
 
 def instruction_cues(text, normalise: bool = True) -> Column:
     """Names of the cues in a text; empty: it doesn't read like an instruction."""
-    folded = strip(fold(text, normalise))
-    # (?U): letters of all scripts are letters of words
-    return F.filter(F.array(*[F.when(any_of(folded, f"(?U){p}"), F.lit(n)) for n, p in fixed.CUES]), lambda x: x.isNotNull())
+    return scan.cues_column(_c(text), True, normalise)
 
 
 # ------------------------------------------------------------------ scorers: name -> column of P(malicious)

@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import MODALITIES, RUNTIME_TRUST, DefenseConfig, TrustConfig
-from ..functions import detect, hosts, policy, text as tx, trust
+from ..functions import detect, hosts, policy, scan, text as tx, trust
+from ..functions.fixed import SIGNATURES as _SIGNATURES
 from ..sources.tables import cut
 from ..streaming.adaptive import decide_in_order
 
+SIGNATURES = tuple(_SIGNATURES)
+#: The number of a response, given where its features are first written.
+ROW = "_response"
 RESPONSE = "seq long, session string, content string, modality string, tool_name string, source_url string, image_path string, visual_threat double, alignment double"
 
 
@@ -74,12 +78,13 @@ def with_gated_threat(df: DataFrame, key: str, text: str, domain: str, config: D
     if not config.instruction_gate_domains or scorer not in detect.IN_ROW:
         return df.withColumnRenamed("_raw", out)
     df = df.withColumn("_segs", tx.viewed_segments(text, config.hard_split_chars, config.max_segments))
-    doubt = lambda s: (detect.SCORERS[scorer](s["text"]) >= config.instruction_gate_min_score) & (detect.signature_score(s["folded"], folded=True) <= config.segment_remove_above) & (F.size(detect.instruction_cues(s["folded"], normalise=False)) == 0)
-    df = df.withColumn("_parts", F.transform("_segs", lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), (~doubt(s)).alias("keep"))))
+    df = df.withColumn("_scan", scan.segment_scores(F.transform("_segs", lambda s: s["folded"]), SIGNATURES, with_cues=True))
+    doubt = lambda s, i: (detect.SCORERS[scorer](s["text"]) >= config.instruction_gate_min_score) & (F.col("_scan")[i]["p"] <= config.segment_remove_above) & ~F.col("_scan")[i]["cued"]
+    df = df.withColumn("_parts", F.transform("_segs", lambda s, i: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), (~doubt(s, i)).alias("keep"))))
     df = df.withColumns({"_left": F.exists("_parts", lambda s: ~s["keep"]), "_remainder": tx.reconstruct("_parts")})
     df = with_threat(df, key, "_remainder", domain, config, scorer, "_gated")
     gate = F.col(domain).isin(*config.instruction_gate_domains) & (F.col("_raw") >= config.min_accept_below) & F.col("_left")
-    return df.withColumn(out, F.when(gate, F.least("_raw", F.coalesce("_gated", F.lit(0.0)))).otherwise(F.col("_raw"))).drop("_raw", "_segs", "_parts", "_left", "_remainder", "_gated")
+    return df.withColumn(out, F.when(gate, F.least("_raw", F.coalesce("_gated", F.lit(0.0)))).otherwise(F.col("_raw"))).drop("_raw", "_segs", "_scan", "_parts", "_left", "_remainder", "_gated")
 
 
 def text_threat(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str = "keyword", out: str = "t") -> DataFrame:
@@ -101,12 +106,13 @@ def with_sanitised(df: DataFrame, key: str, text: str, domain: str, config: Defe
         return df.join(sanitise(df, key, text, domain, config, scorer), key, "left")
     use_model = tx._c(domain).isin(*config.segment_model_domains)
     df = df.withColumn("_segs", tx.viewed_segments(text, config.hard_split_chars, config.max_segments)).withColumn("_use", use_model)
-    score = lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), detect.signature_score(s["folded"], folded=True).alias("p"), F.when(F.col("_use"), detect.SCORERS[scorer](s["view"])).alias("m"))
+    df = df.withColumn("_scan", scan.segment_scores(F.transform("_segs", lambda s: s["folded"]), SIGNATURES))
+    score = lambda s, i: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), F.col("_scan")[i]["p"].alias("p"), F.when(F.col("_use"), detect.SCORERS[scorer](s["view"])).alias("m"))
     df = df.withColumn("_scored", F.transform("_segs", score))
     df = df.withColumn("_judged", F.transform("_scored", lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), policy.verdict(config, s["m"], s["p"]).alias("v"))))
     count = lambda v: F.size(F.filter("_judged", lambda s: s["v"] == v))
     kept = F.transform("_judged", lambda s: F.struct(s["text"].alias("text"), s["sep"].alias("sep"), (s["v"] != "removed").alias("keep")))
-    return df.withColumns({"sanitised": tx.reconstruct(kept), "n_removed": count("removed"), "n_flagged": count("flagged"), "n_segments": F.size("_segs")}).drop("_segs", "_use", "_scored", "_judged")
+    return df.withColumns({"sanitised": tx.reconstruct(kept), "n_removed": count("removed"), "n_flagged": count("flagged"), "n_segments": F.size("_segs")}).drop("_segs", "_use", "_scan", "_scored", "_judged")
 
 
 def sanitise(df: DataFrame, key: str, text: str, domain: str, config: DefenseConfig, scorer: str = "keyword") -> DataFrame:
@@ -129,18 +135,18 @@ def features(responses: DataFrame, config: DefenseConfig, trust_config: TrustCon
     """One row of statistics and texts for each response; nothing here depends on what came before it."""
     meta = hosts.metadata("source_url", "modality", "tool_name", "content")
     base = responses.withColumn("meta", meta).withColumn("key", hosts.source_key("meta.domain", "tool_name")).withColumn("domain", F.col("meta.domain")).drop("meta")
-    base = base.withColumn("empty", (F.col("modality") != "image") & (tx.strip(F.coalesce("content", F.lit(""))) == ""))
-    full = cut(filter_content(base.where("not empty")), "filtered")  # keeps each step's expressions small
-    full = full.withColumns({"_fd": tx.fold("detection_text"), "_fh": tx.fold("concealed_text")})
-    full = full.withColumns({"pattern": detect.signature_score("_fd", folded=True), "hidden_pattern": detect.signature_score("_fh", folded=True)}).drop("_fd", "_fh")
-    full = with_gated_threat(full, "seq", "detection_lines", "modality", config, scorer, "t")
-    full = with_threat(full, "seq", "concealed_text", "modality", config, scorer, "hidden_t")
+    base = base.withColumn("empty", F.coalesce(F.col("modality") != "image", F.lit(True)) & (F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+", " ")) == ""))
+    # numbered where it is written, so that a number stays what it is however often the table is read
+    known = cut(filter_content(base).withColumn(ROW, F.monotonically_increasing_id()), "filtered")
+    full = known.where("not empty")
+    full = full.withColumns({"pattern": detect.signature_score("detection_text"), "hidden_pattern": detect.signature_score("concealed_text")})
+    full = with_gated_threat(full, ROW, "detection_lines", "modality", config, scorer, "t")
+    full = with_threat(full, ROW, "concealed_text", "modality", config, scorer, "hidden_t")
     full = full.withColumn("concealed", (F.col("concealed_text") != "") & ((F.col("hidden_pattern") >= config.concealed_pattern_threshold) | (F.coalesce("hidden_t", F.lit(0.0)) >= config.concealed_model_threshold)))
     full = trust.with_assessment(full, trust_config, "x", "modality", "t", "visual_threat", F.col("alignment"), F.col("detection_text") != "")
-    full = cut(with_sanitised(full, "seq", "delivery_text", "modality", config, scorer), "sanitised")
+    full = cut(with_sanitised(full, ROW, "delivery_text", "modality", config, scorer), "sanitised")
     full = full.withColumn("_rest", tx.detection_text(tx.unicode_report("sanitised")["delivery"]))
-    full = with_gated_threat(full, "seq", "_rest", "modality", config, scorer, "t_post").withColumn("_fr", tx.fold("_rest"))
-    full = full.withColumn("p_post", detect.signature_score("_fr", folded=True)).drop("_fr")
+    full = with_gated_threat(full, ROW, "_rest", "modality", config, scorer, "t_post").withColumn("p_post", detect.signature_score("_rest"))
     full = trust.with_assessment(full, trust_config, "y", "modality", "t_post", F.lit(None).cast("double"), F.col("alignment"), tx.strip(F.col("_rest")) != "")
     injection = F.greatest("t", "pattern", F.when(F.col("concealed_text") != "", F.col("hidden_t")), F.when(F.col("concealed_text") != "", F.col("hidden_pattern")))
     full = full.withColumns(
@@ -149,17 +155,24 @@ def features(responses: DataFrame, config: DefenseConfig, trust_config: TrustCon
             "evidence": (F.col("pattern") >= config.escalate_pattern_score) | F.col("concealed") | (F.col("obfuscated") & F.lit(config.escalate_on_obfuscation)), "remaining": F.length(tx.strip(F.coalesce("sanitised", F.lit("")))), "removed": F.coalesce("n_removed", F.lit(0)) + F.col("concealed").cast("int"),
         }
     )
-    kept = ["seq", "session", "key", "domain", "modality", "tool_name", "source_url", "image_path", "empty", "risk", "accept", "reject", "evidence", "residual", "remaining", "removed", "trust", "post_trust", "injection", "delivery_text", "sanitised", "n_hidden", "n_removed", "content"]
-    return full.select(kept).unionByName(base.where("empty").select([c for c in kept if c in base.columns]), allowMissingColumns=True)
+    kept = [ROW, "seq", "session", "key", "domain", "modality", "tool_name", "source_url", "image_path", "empty", "risk", "accept", "reject", "evidence", "residual", "remaining", "removed", "trust", "post_trust", "injection", "delivery_text", "sanitised", "n_hidden", "n_removed", "content"]
+    blank = [ROW, "seq", "session", "key", "domain", "modality", "tool_name", "source_url", "image_path", "empty", "content"]
+    return full.select(kept).unionByName(known.where("empty").select(blank), allowMissingColumns=True)
 
 
 def triage(responses: DataFrame, config: DefenseConfig | None = None, trust_config: TrustConfig = RUNTIME_TRUST, scorer: str = "keyword") -> DataFrame:
-    """Deliveries: seq, session, key, action, threat, level, rules, trust_score, injection_score, secure_content, agent_notice, original_source, image_forwarded, raw_content."""
+    """Deliveries: seq, session, key, action, threat, level, rules, trust_score, injection_score, secure_content, agent_notice, original_source, image_forwarded, raw_content.
+
+    One delivery for each response, whatever sessions number alike and whatever rows
+    repeat: a response goes by a number of its own.  A response without a session is a
+    session of its own; an empty table has no deliveries; further columns are ignored.
+    """
     config = config or DefenseConfig()
     full = cut(features(responses, config, trust_config, scorer), "features")  # texts are read and judged once; the fold reads numbers
-    stats = full.select("seq", "session", "key", "domain", "modality", F.col("tool_name").alias("tool"), "empty", "risk", "accept", "reject", "evidence", "residual", "remaining", "removed", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("control"))
-    decided = decide_in_order(config, stats).select("seq", "action", "threat", "level", "rules")
-    out = full.join(decided, "seq")
+    alone = F.coalesce("session", F.concat(F.lit("\x00"), F.col(ROW).cast("string")))
+    stats = full.select(ROW, "seq", alone.alias("session"), "key", "domain", "modality", F.col("tool_name").alias("tool"), "empty", "risk", "accept", "reject", "evidence", "residual", "remaining", "removed", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("control"), F.lit(trust_config.no_evidence_decision).alias("no_evidence"))
+    decided = decide_in_order(config, stats, row=ROW).select(ROW, "action", "threat", "level", "rules")
+    out = full.join(decided, ROW)
     clean = F.contains("rules", F.lit("R7"))
     content = F.when(F.col("action") == "ACCEPT", F.coalesce("delivery_text", F.lit(""))).when(F.col("action") == "SANITIZE", F.col("sanitised")).otherwise("")
     told = policy.notice(config, "action", "n_removed", "n_hidden")

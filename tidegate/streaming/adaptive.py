@@ -119,7 +119,7 @@ class Session:
             r = min(1.0, max(a + c.min_threshold_gap, row["reject"] - shift))
             rules = ["R3"] * (level != "normal") + ["R4"]
             risk = row.get("risk")
-            action = "SANITIZE" if risk is None else "ACCEPT" if risk < a else "REJECT" if risk >= r else "SANITIZE"
+            action = (row.get("no_evidence") or "SANITIZE") if risk is None else "ACCEPT" if risk < a else "REJECT" if risk >= r else "SANITIZE"
             if action == "ACCEPT" and row.get("evidence"):
                 action, rules = "SANITIZE", rules + ["R5"]
             threat, salvaged = action, False
@@ -157,10 +157,13 @@ def _columns(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _in_order(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | None, states: bool) -> DataFrame:
+def _in_order(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | None, states: bool, row: str | None = None) -> DataFrame:
     """Rows of a session come one after the other, so a task holds a batch of rows and one session's state, however long the session is."""
     at = statistics.withColumn("saved", F.lit(None).cast("string")) if saved is None else statistics.join(saved.select("session", "saved"), "session", "left")
 
+    number = [row] if row else []
+    schema = STATE if states else ", ".join([OUT, *[f"{name} long" for name in number]])
+
     def run(frames):
         now, session = object(), None
         for frame in frames:
@@ -172,23 +175,24 @@ def _in_order(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | N
                     now, session = row["session"], Session(config, row["saved"])
                 got = _decided(session, now, row)
                 if not states:
-                    out.append(got)
-            yield pd.DataFrame(out, columns=_columns(STATE if states else OUT))
+                    out.append(got | {name: row[name] for name in number})
+            yield pd.DataFrame(out, columns=_columns(schema))
         if states and session is not None:
             yield pd.DataFrame([{"session": now, "saved": session.dump()}])
 
-    return at.repartition("session").sortWithinPartitions("session", "seq").mapInPandas(run, STATE if states else OUT)
+    return at.repartition("session").sortWithinPartitions("session", "seq", *number).mapInPandas(run, schema)
 
 
 STATE = "session string, saved string"
 
 
-def decide_in_order(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+def decide_in_order(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | None = None, row: str | None = None) -> DataFrame:
     """The closed loop in batch: one ordered fold per session over (session, seq, key, domain, modality, tool, risk, accept, reject, evidence, residual, remaining, removed, empty, ok, control).
 
     saved: (session, saved) of session_dumps(), from which sessions go on.
+    row: a column of numbers that tells rows apart; it decides between equal seq and is handed on.
     """
-    return _in_order(config, statistics, saved, False)
+    return _in_order(config, statistics, saved, False, row)
 
 
 def session_dumps(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | None = None) -> DataFrame:
