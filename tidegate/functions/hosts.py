@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed
@@ -13,21 +15,33 @@ def host_of(url) -> Column:
     return F.nullif(F.lower(F.regexp_extract(_c(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once and its code there once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def split_host(host) -> Column:
     """struct of domain (registered), subdomain, tld; addresses and single labels stay whole."""
+
+    def split(t: Column) -> Column:
+        h, labels = t["h"], t["labels"]
+        n = F.size(labels)
+        tail = lambda k: F.array_join(F.slice(labels, F.greatest(F.lit(1), n - k + 1), F.lit(k)), ".")
+        shared = lambda k: (n > k) & tail(k).isin(*fixed.SHARED_HOSTING_SUFFIXES)
+        own = F.when(shared(3), 4).when(shared(2), 3).when((n >= 3) & tail(2).isin(*fixed.TWO_LABEL_SUFFIXES), 3).otherwise(2)
+        whole = (n == 1) | any_of(h, r"^\d{1,3}(\.\d{1,3}){3}$") | F.contains(h, F.lit(":"))
+        return _once(F.struct(own.alias("own"), whole.alias("whole")), lambda x: named(h, labels, n, x["own"], x["whole"]))
+
+    def named(h: Column, labels: Column, n: Column, own: Column, whole: Column) -> Column:
+        join = lambda a, k: F.array_join(F.slice(labels, a, k), ".")
+        none = F.lit(None).cast("string")
+        domain = F.when(h.isNull() | (h == ""), none).when(whole, F.regexp_replace(h, r"[\[\]]", "")).otherwise(join(F.greatest(F.lit(1), n - own + 1), own))
+        sub = F.when(h.isNull() | (h == "") | whole | (n <= own), none).otherwise(join(F.lit(1), F.greatest(F.lit(0), n - own)))
+        tld = F.when(h.isNull() | (h == "") | whole, none).otherwise(F.concat(F.lit("."), join(F.greatest(F.lit(1), n - own + 2), own - 1)))
+        return F.struct(domain.alias("domain"), sub.alias("subdomain"), tld.alias("tld"))
+
     h = F.regexp_replace(F.lower(_c(host)), r"\.+$", "")
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    tail = lambda k: F.array_join(F.slice(labels, F.greatest(F.lit(1), n - k + 1), F.lit(k)), ".")
-    shared = lambda k: (n > k) & tail(k).isin(*fixed.SHARED_HOSTING_SUFFIXES)
-    own = F.when(shared(3), 4).when(shared(2), 3).when((n >= 3) & tail(2).isin(*fixed.TWO_LABEL_SUFFIXES), 3).otherwise(2)
-    whole = (n == 1) | any_of(h, r"^\d{1,3}(\.\d{1,3}){3}$") | F.contains(h, F.lit(":"))
-    join = lambda a, k: F.array_join(F.slice(labels, a, k), ".")
-    none = F.lit(None).cast("string")
-    domain = F.when(h.isNull() | (h == ""), none).when(whole, F.regexp_replace(h, r"[\[\]]", "")).otherwise(join(F.greatest(F.lit(1), n - own + 1), own))
-    sub = F.when(h.isNull() | (h == "") | whole | (n <= own), none).otherwise(join(F.lit(1), F.greatest(F.lit(0), n - own)))
-    tld = F.when(h.isNull() | (h == "") | whole, none).otherwise(F.concat(F.lit("."), join(F.greatest(F.lit(1), n - own + 2), own - 1)))
-    return F.struct(domain.alias("domain"), sub.alias("subdomain"), tld.alias("tld"))
+    return _once(F.struct(h.alias("h"), F.split(h, r"\.").alias("labels")), split)
 
 
 def file_type(modality, path, content_type, raw) -> Column:

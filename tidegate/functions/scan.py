@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .decoding import _LATIN, _UNSEEN_OR_BIDI
+from .decoding import _LATIN, _NARROW, _NOISE, _UNSEEN, _UNSEEN_OR_BIDI
 
 _LETTERS = r"[\x{AA}\x{B2}\x{B3}\x{B5}\x{B9}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{370}-\x{1FFF}\x{2C00}-\x{D7FF}]"
 _BLANKS = r"[\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -170,3 +170,31 @@ def segment_scores(texts: Column, signatures: tuple, with_cues: bool = False) ->
         return relisted(lists, pa.StructArray.from_arrays([p, cued], names=["p", "cued"]))
 
     return score(texts)
+
+
+_PARTS = "struct<delivery:string,detection:string,smuggled:string,obfuscated:boolean>"
+_TAGS, _BIDI = re.compile("[\U000e0000-\U000e007f]"), re.compile(f"[{fixed.BIDI}]")
+
+
+def _taken_apart(text: str) -> tuple[str, str, str, bool]:
+    delivery = _NARROW.sub("", _NOISE.sub("", text))
+    tags = _TAGS.findall(text)
+    smuggled = "".join(chr(ord(c) - 0xE0000) for c in tags if 0xE0020 <= ord(c) <= 0xE007E)
+    return delivery, _UNSEEN.sub("", unicodedata.normalize("NFKC", delivery)), smuggled, bool(tags or _BIDI.search(text) or _NARROW.search(text))
+
+
+def unicode_parts(text) -> Column:
+    """struct of delivery, detection, smuggled, obfuscated as text.unicode_report() and text.detection_text() have them, in one reading."""
+
+    @F.arrow_udf(_PARTS)
+    def take_apart(column: pa.Array) -> pa.Array:
+        texts = texts_of(column)
+        odd = pc.invert(pc.string_is_ascii(texts))  # texts of ASCII are not touched
+        made = [_taken_apart(x) for x in texts.filter(odd).to_pylist()]
+        delivery, detection, smuggled, obfuscated = zip(*made, strict=True) if made else ((), (), (), ())
+        put = lambda whole, new, kind: pc.replace_with_mask(whole, odd, pa.array(new, kind))
+        none, no = pa.array([""] * len(texts), pa.large_string()), pa.array(np.zeros(len(texts), bool))
+        columns = [put(texts, delivery, pa.large_string()), put(texts, detection, pa.large_string()), put(none, smuggled, pa.large_string())]
+        return pa.StructArray.from_arrays([*[c.cast(pa.string()) for c in columns], put(no, obfuscated, pa.bool_())], names=["delivery", "detection", "smuggled", "obfuscated"])
+
+    return take_apart(F.col(text) if isinstance(text, str) else text)

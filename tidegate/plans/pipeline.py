@@ -37,8 +37,8 @@ def filter_content(df: DataFrame, content: str = "content", modality: str = "mod
     shown = shown.withColumns({"_visible": F.col("_p.visible"), "_all": tx.strip_tags(content), "_hidden": F.transform("_p.hidden", lambda h: h["text"]), "_comments": F.col("_p.comments"), "is_html": F.lit(True)}).drop("_p")
     none = F.array().cast("array<string>")
     plain = df.where(~page).withColumns({"_visible": F.coalesce(content, F.lit("")), "_all": F.coalesce(content, F.lit("")), "_hidden": none, "_comments": none, "is_html": F.lit(False)})
-    both = shown.unionByName(plain).withColumns({"_u": tx.unicode_report("_visible"), "_f": tx.unicode_report("_all")})
-    both = both.withColumns({"_seen": tx.detection_text("_u.delivery"), "detection_lines": tx.detection_text("_f.delivery")})
+    both = shown.unionByName(plain).withColumns({"_u": scan.unicode_parts("_visible"), "_f": scan.unicode_parts("_all")})
+    both = both.withColumns({"_seen": F.col("_u.detection"), "detection_lines": F.col("_f.detection")})
     decoded = F.transform(tx.encoded_payloads("_seen"), lambda p: p["decoded"])
     parts = F.filter(F.concat("_hidden", "_comments", F.array("_f.smuggled"), decoded), lambda x: tx.strip(x) != "")
     out = both.withColumns(
@@ -145,7 +145,7 @@ def features(responses: DataFrame, config: DefenseConfig, trust_config: TrustCon
     full = full.withColumn("concealed", (F.col("concealed_text") != "") & ((F.col("hidden_pattern") >= config.concealed_pattern_threshold) | (F.coalesce("hidden_t", F.lit(0.0)) >= config.concealed_model_threshold)))
     full = trust.with_assessment(full, trust_config, "x", "modality", "t", "visual_threat", F.col("alignment"), F.col("detection_text") != "")
     full = cut(with_sanitised(full, ROW, "delivery_text", "modality", config, scorer), "sanitised")
-    full = full.withColumn("_rest", tx.detection_text(tx.unicode_report("sanitised")["delivery"]))
+    full = full.withColumn("_rest", scan.unicode_parts("sanitised")["detection"])
     full = with_gated_threat(full, ROW, "_rest", "modality", config, scorer, "t_post").withColumn("p_post", detect.signature_score("_rest"))
     full = trust.with_assessment(full, trust_config, "y", "modality", "t_post", F.lit(None).cast("double"), F.col("alignment"), tx.strip(F.col("_rest")) != "")
     injection = F.greatest("t", "pattern", F.when(F.col("concealed_text") != "", F.col("hidden_t")), F.when(F.col("concealed_text") != "", F.col("hidden_pattern")))
