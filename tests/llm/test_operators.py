@@ -56,6 +56,33 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), "vec_id", "embedding", lambda i: i % 100 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Every row is a candidate but the query's own; rows that share an id are rows of their own."""
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [0.5, 0.9]), (1, [0.5, 0.9]), (100, [0.0, 1.0]), (100, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = [(i, np.floor(1024 * np.array(x, np.float32).astype(float)).astype(np.int64)) for i, x in rows]
+    want = []
+    for n, (q, x) in enumerate(v):
+        if q % 100 == 0:
+            best = sorted((-int(x @ y), i) for m, (i, y) in enumerate(v) if m != n)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    got = topk.top_k(df, "vec_id", "embedding", lambda i: i % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_bpe_keeps_columns_that_clash(spark):
+    path = public("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "some text", "a", "b", 5, "i", "k")], "doc_id long, text string, _id string, _text string, n_tokens int, ids string, key string")
+    row = bpe.encode_texts(df, path, with_ids=True, keep=tuple(df.columns)).first()
+    assert (row.doc_id, row.text, row["_id"], row["_text"], row["_n_tokens"], row["_ids"], row.key, row.n_tokens, len(row.ids)) == (1, "some text", "a", "b", 5, "i", "k", 2, 2)
+
+
+def public(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def test_top_k_index_stops_on_proof():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16))

@@ -7,7 +7,10 @@ from a bounded memo of the worker.  Decoding concatenates the vocabulary's byte
 strings of the ids.
 
 Defined cases: null and empty texts have no tokens; an empty table gives an empty
-result; special tokens inside a text are encoded as themselves.
+result; special tokens inside a text are encoded as themselves; repeated rows are
+encoded each; a text is one task's work, however long, and a word of n symbols takes
+n log n steps; of the columns to keep, one that is named like a column made here
+gets _ before its name, and none is lost.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import fresh
+
 #: Words kept in each of the memo's two generations.
 MEMO_WORDS = 100_000
 _SPACES = r"\t-\r \x85\xa0  -     　"
@@ -126,7 +131,7 @@ def codec(key: str, spec: dict) -> Codec:
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of every row, its ids as an array if with_ids, and the columns to keep.
+    """id, n_tokens, ids_sha256, decoded_sha256 of every row, its ids as an array if with_ids, and the columns to keep (see the cases above).
 
     The vocabulary is read on the driver and sent to executors; its file bounds its size.
     """
@@ -149,8 +154,17 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             cols = [*batch.columns[2:], batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             yield pa.record_batch(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=[*batch.schema.names[2:], *made])
 
-    made = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[c for c in keep if c != id_col and c not in made])
-    kinds = [T.LongType(), T.StringType(), T.StringType()] + [T.ArrayType(T.IntegerType())] * with_ids
-    schema = T.StructType([*rows.schema.fields[2:], rows.schema["_id"], *[T.StructField(n, k) for n, k in zip(made[1:], kinds, strict=True)]])
-    return rows.mapInArrow(encode, schema).withColumnRenamed("_id", id_col)
+    made = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    taken, named = {c.lower() for c in [*made, *keep]}, {}
+    for c in keep:
+        if c != id_col:
+            name = c
+            while name.lower() in {m.lower() for m in made} or (name != c and name.lower() in taken):
+                name = "_" + name
+            taken.add(name.lower())
+            named[c] = name
+    key, text = fresh(docs, "key"), fresh(docs, "encoded_text")
+    rows = docs.select(F.col(id_col).alias(key), F.col(text_col).alias(text), *[F.col(c).alias(n) for c, n in named.items()])
+    kinds = [rows.schema[key].dataType, T.LongType(), T.StringType(), T.StringType()] + [T.ArrayType(T.IntegerType())] * with_ids
+    schema = T.StructType([*rows.schema.fields[2:], *[T.StructField(n, k) for n, k in zip(made, kinds, strict=True)]])
+    return rows.mapInArrow(encode, schema)

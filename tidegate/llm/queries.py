@@ -22,13 +22,12 @@ def op1_topk(spark, sf_dir):
 
 SQL["op1_topk"] = """
 WITH ok AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), base AS (SELECT vec_id, min(v) AS v FROM ok GROUP BY vec_id),
-scored AS (
-  SELECT q.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(q.v, b.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
-  FROM base q JOIN base b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+), scored AS (
+  SELECT q.r, q.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(q.v, b.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+  FROM ok q JOIN ok b ON q.vec_id % 100 = 0 AND b.r <> q.r
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 

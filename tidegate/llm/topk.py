@@ -9,9 +9,13 @@ best exact score are few, and rescores exactly those.  A shard whose bounds neve
 separate is read to its end, so results never depend on the bounds.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components,
-and rows without an id, take no part.  Rows that repeat an id count once, with
-the smallest vector.  Vectors of unlike length share their common dimensions.
-Equal scores go to the smaller id.  An empty table gives an empty result.
+and rows without an id, take no part.  Rows that repeat an id are rows of their
+own: each is a candidate, and each is a query where its id is asked for, whose
+candidates are all rows but itself.  Vectors of unlike length share their common
+dimensions.  Equal scores go to the smaller id.  Scaled components and scores are
+64-bit integers: components from 2^53 on saturate, and sums beyond 2^63 wrap.
+Other columns are ignored, whatever their names.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import table
+
 #: Rows in a shard and queries in a block: the bounds on what one task holds.
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
 LEVELS, CHECKS, SEEN_BITS = 16, 16, 12
@@ -30,8 +36,8 @@ LEVELS, CHECKS, SEEN_BITS = 16, 16, 12
 class ImpactIndex:
     """Segments of one shard: rows x dimensions of int64."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray, levels: int = LEVELS):
-        self.ids, self.values = ids, values
+    def __init__(self, ids: np.ndarray, values: np.ndarray, levels: int = LEVELS, rows: np.ndarray | None = None):
+        self.ids, self.values, self.rows = ids, values, ids if rows is None else rows
         n, dims = values.shape
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()  # by dimension
         self.sorted = np.take_along_axis(values, self.order.T, axis=0).T
@@ -54,8 +60,8 @@ class ImpactIndex:
             return (self.floats[rows] @ query.astype(np.float64)).astype(np.int64)
         return self.values[rows] @ query
 
-    def search(self, query: np.ndarray, own_id, k: int):
-        """(ids, scores) of the k best rows other than own_id, best first."""
+    def search(self, query: np.ndarray, own_row, k: int):
+        """(ids, scores) of the k best rows other than own_row, best first."""
         n, dims = self.values.shape
         floor = np.where(query >= 0, query * self.low, query * self.high)  # least that a dimension adds
         q = query[self.dim]
@@ -63,7 +69,7 @@ class ImpactIndex:
         use = np.flatnonzero(impact > 0)
         use = use[np.argsort(-impact[use], kind="stable")]
         packed = np.zeros(n)
-        own = self.ids == own_id
+        own = self.rows == own_row
         base = int(floor.sum())
         length = self.hi - self.lo
         postings, read = int(length[use].sum()), 0
@@ -126,14 +132,13 @@ def top_k(rows: DataFrame, id_col: str, vector_col: str, queries, k: int = 10, s
     base = (
         rows.where(x.isNotNull() & F.col(id_col).isNotNull() & ~F.coalesce(bad, F.lit(False)))
         .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("v"))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
     )
+    base = table(base.withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbered once, read by both sides
     n = base.count()
     shards = max(1, math.ceil(n / SHARD_ROWS))
     asked = base.where(queries(F.col("id")))
     blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    spread = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
+    spread = lambda m, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
     placed = base.withColumn("shard", spread(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     posed = asked.withColumn("block", spread(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
@@ -141,13 +146,14 @@ def top_k(rows: DataFrame, id_col: str, vector_col: str, queries, k: int = 10, s
         found: list[tuple] = []
         if own.num_rows and posed.num_rows:
             dims = max(_dims(own["v"]), _dims(posed["v"]), 1)
-            index = ImpactIndex(own["id"].to_numpy(), _matrix(own["v"], dims))
-            for q, vector in zip(posed["id"].to_pylist(), _matrix(posed["v"], dims), strict=True):
-                ids, scores = index.search(vector, q, k)
-                found.append((np.full(len(ids), q), ids, scores))
-        cols = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else [()] * 3)]
-        return pa.table({"query_id": cols[0], "id": cols[1], "score": cols[2]}, schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())]))
-
-    local = placed.groupBy("shard", "block").cogroup(posed.groupBy("shard", "block")).applyInArrow(answer, "query_id long, id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+            index = ImpactIndex(own["id"].to_numpy(), _matrix(own["v"], dims), rows=own["row"].to_numpy())
+            for q, row, vector in zip(posed["id"].to_pylist(), posed["row"].to_pylist(), _matrix(posed["v"], dims), strict=True):
+                ids, scores = index.search(vector, row, k)
+                found.append((np.full(len(ids), q), np.full(len(ids), row), ids, scores))
+        cols = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else [()] * 4)]
+        names = ["query_id", "query_row", "id", "score"]
+        return pa.table(dict(zip(names, cols, strict=True)), schema=pa.schema([(c, pa.int64()) for c in names]))
+
+    local = placed.groupBy("shard", "block").cogroup(posed.groupBy("shard", "block")).applyInArrow(answer, "query_id long, query_row long, id long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
