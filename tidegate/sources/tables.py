@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df below spark.checkpoint.dir and read it again: plans stay small and survive lost executors.
 
-    Only where that setting is missing (local runs) a temporary folder is used.
+    Only where that setting is missing in a local session a temporary folder is used; a cluster must name one.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         told = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = told.get() if told.isDefined() else tempfile.mkdtemp(prefix="tidegate-")
+        base = told.get() if told.isDefined() else None
+    if not base:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidegate-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete every table that cut() wrote, also at exit; what still reads them must be consumed first."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            return
