@@ -1,16 +1,18 @@
 """Evaluation: confusion matrices, rankings, sweeps, grids and outcome tables.
 
-Everything is a group-by or a join on a key.  Rankings first sum rows by score, so
-windows run over distinct scores, not over rows, and hold one row per score.
+Everything is a group-by or a join on a key.  Rankings first sum rows by score, then
+take running sums over ranges of scores (operators/prefix.py), so no task holds all
+scores of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import _c
+from .prefix import running_sums
 
 
 def ratio(a, b) -> Column:
@@ -58,15 +60,14 @@ def _by_score(df: DataFrame, y: str, score: str, by: Sequence[str]) -> DataFrame
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by average ranks; null where a class is missing."""
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    each = _by_score(df, y, score, by).withColumn("won", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2.0))
+    each = running_sums(_by_score(df, y, score, by), F.col("score"), {"upto": "neg"}, by).withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") + F.col("neg") / 2.0))
     return each.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
 def cumulative(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """For each score from the highest down: tp and fp so far, and tp before it."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _by_score(df, y, score, by).select(*by, "score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    each = running_sums(_by_score(df, y, score, by), F.desc("score"), {"tp": "pos", "fp": "neg"}, by)
+    return each.select(*by, "score", "pos", "neg", "tp", "fp")
 
 
 def average_precision(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
@@ -77,9 +78,8 @@ def average_precision(df: DataFrame, y: str = "y", score: str = "score", by: Seq
 
 def average_ranks(df: DataFrame, score: str, key: str) -> DataFrame:
     """key, score and the rank that equal scores share, computed over distinct scores and joined back."""
-    counts = df.groupBy(score).agg(F.count("*").alias("n"))
-    before = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(score, (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2.0).alias("avg_rank"))
+    counts = running_sums(df.groupBy(score).agg(F.count("*").alias("n")), F.col(score), {"upto": "n"})
+    ranks = counts.select(score, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
     return df.select(key, score).join(ranks, score).select(key, score, "avg_rank")
 
 
@@ -127,12 +127,10 @@ def outcome_table(df: DataFrame, y: str = "y", action: str = "action", by: Seque
 def index_quantiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """p50 (element n // 2), p95 (element int(0.95 n) - 1, at least the first) and max, by exact place in order.
 
-    Values are counted first, so the window runs over distinct values.
+    Values are counted first, so running sums go over distinct values.
     """
-    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_rows = Window.partitionBy(*by)
     counts = df.where(_c(value).isNotNull()).groupBy(*by, _c(value).alias("v")).agg(F.count("*").alias("c"))
-    placed = counts.withColumn("hi", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(all_rows))
+    placed = running_sums(counts, F.col("v"), {"hi": "c"}, by).withColumnRenamed("hi_all", "n")
     at = lambda k: F.min(F.when(F.col("hi") > k, F.col("v")))
     n = F.col("n")
     return placed.groupBy(*by).agg(at(F.floor(n / 2)).alias("p50"), at(F.greatest(F.lit(0), F.floor(n * 95 / 100) - 1)).alias("p95"), F.max("v").alias("max"), F.max("n").alias("n"))
