@@ -17,15 +17,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import fresh
+from .common import fresh, text_slices
 
 #: Words kept in each of the memo's two generations.
 MEMO_WORDS = 100_000
+#: Bytes of texts whose ids are held before they are handed on.
+AT_ONCE = 1 << 20
 _SPACES = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the public word pattern of byte-level BPE, with white space spelled out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
@@ -142,17 +146,24 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def encode(batches):
         own = codec(key, sent.value)
         for batch in batches:
-            counts, ids, hashes, decoded = [], [], [], []
-            for text in batch.column(1):
-                parts = own.parts(text.as_py() or "")
-                counts.append(sum([len(p[0]) for p in parts]))
-                hashes.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                back = b"".join([p[2] for p in parts]).decode("utf-8", "replace")
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+            for at, offsets, _ in text_slices(batch.column(1), AT_ONCE):  # results leave in pieces as bounded as the texts
+                some = batch.slice(at, len(offsets) - 1)
+                counts, flat, hashes, decoded = [], array("i"), [], []
+                for text in some.column(1):
+                    parts = own.parts(text.as_py() or "")
+                    counts.append(sum([len(p[0]) for p in parts]))
+                    hashes.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+                    back = b"".join([p[2] for p in parts]).decode("utf-8", "replace")
+                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                    if with_ids:
+                        for p in parts:
+                            flat.extend(p[0])
+                cols = [*some.columns[2:], some.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
-                    ids.append([i for p in parts for i in p[0]])
-            cols = [*batch.columns[2:], batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.record_batch(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=[*batch.schema.names[2:], *made])
+                    ends = pa.array(np.concatenate([[0], np.cumsum(np.array(counts, np.int64))]), pa.int32())
+                    cols.append(pa.ListArray.from_arrays(ends, pa.array(np.array(flat, np.int32))))
+                yield pa.record_batch(cols, names=[*some.schema.names[2:], *made])
+            pa.default_memory_pool().release_unused()
 
     made = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     taken, named = {c.lower() for c in [*made, *keep]}, {}
