@@ -54,3 +54,48 @@ def test_rankings(spark):
     for r in m.index_quantiles(df, "s", ["g"]).collect():
         own = sorted(x[1] for x in some if x[0] == r.g)
         assert (r.p50, r.p95, r.max, r.n) == (own[len(own) // 2], own[max(0, int(0.95 * len(own)) - 1)], own[-1], len(own))
+
+
+def test_merged_runs_equal_the_step_machine(spark):
+    """A source with nine tenths of the events, repeated rows, ties, nulls in key and threat: as event by event, in many ranges."""
+    import random
+
+    from tidegate.config import DefenseConfig
+    from tidegate.streaming import adaptive as ad
+
+    rnd = random.Random(5)
+    rows = [("hot" if rnd.random() < 0.9 else rnd.choice(["a", "b", None]), rnd.randrange(2000), i // 2, rnd.choice(["ACCEPT"] * 6 + ["SANITIZE", "REJECT", None])) for i in range(6000)]
+    rows += [("calm", i, i, "ACCEPT") for i in range(50)] + [("burst", i, i, "REJECT" if i < 7 else "ACCEPT") for i in range(6000)] + rows[:20]
+    events = spark.createDataFrame(rows, "key string, ts long, event_id long, threat string")
+    for c in (DefenseConfig(), DefenseConfig(suspicion_decay=0.0), DefenseConfig(suspicion_decay=0.999)):
+        machines: dict = {}
+        for key, _, _, threat in sorted(rows, key=lambda r: (r[1], r[2], r[3] or "")):
+            machines.setdefault(key, ad.Session(c)).record(key, threat if threat is not None else "ACCEPT")
+        got = {r.key: r for r in ad.source_states(c, events).collect()}
+        assert set(got) == set(machines)
+        for key, r in got.items():
+            s, n, threats, quarantined = machines[key].sources[key]
+            assert abs(r.suspicion - s) < 1e-9 and (r.events, r.threats, r.quarantined) == (n, threats, quarantined), (key, r, machines[key].sources)
+        alerts = {r.key: (r.session_alert, r.session_events, r.session_threats) for r in ad.session_states(c, events, "key").collect()}
+        assert alerts == {k: (x.alert, x.events, x.threats) for k, x in machines.items()}
+
+
+def test_no_task_holds_a_hot_source(spark):
+    """Ranges cut a group: the ordered fold of one single key is spread over ranges, and an empty table folds to nothing."""
+    from tidegate.operators.prefix import ordered_fold
+
+    df = spark.range(20000).select(F.lit("k").alias("key"), "id")
+    one = F.struct(F.col("id").alias("first"), F.col("id").alias("last"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("joined"))
+
+    def both(a, b):
+        return F.struct(a["first"].alias("first"), b["last"].alias("last"), (a["n"] + b["n"]).alias("n"), (a["joined"] & b["joined"] & (a["last"] + 1 == b["first"])).alias("joined"))
+
+    got = ordered_fold(df, "key", ["id"], one, both, 64).collect()
+    assert [tuple(r.one) for r in got] == [(0, 19999, 20000, True)]
+    assert ordered_fold(df.where("id < 0"), "key", ["id"], one, both).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = df.repartitionByRange("key", "id").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) == 4 and max(r["count"] for r in ranges) < 10_000

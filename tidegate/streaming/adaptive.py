@@ -1,7 +1,8 @@
 """Adaptive state: reputation of sources and the session's alert, as a fold in order of arrival.
 
-Batch: one ordered fold per key.  Where only reputation counts, the key is the
-source, and since decay is by event the closed form needs no fold at all.
+Batch: one ordered fold per session.  Where only reputation or the alert counts,
+runs of events are summarised and merged in a tree (operators/prefix.py), so a
+source or session with most of the events is many tasks.
 Stream: the same step function under applyInPandasWithState; state is a session's,
 and grows with the sources that it has met.  A session's fold is sequential by
 nature; the key is the session.
@@ -10,12 +11,14 @@ nature; the key is the session.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DefenseConfig
+from ..operators.prefix import ordered_fold
 
 
 def weight(config: DefenseConfig, threat) -> Column:
@@ -23,37 +26,59 @@ def weight(config: DefenseConfig, threat) -> Column:
     return F.when(t == "REJECT", F.lit(config.weight_reject)).when(t == "SANITIZE", F.lit(config.weight_sanitize)).otherwise(F.lit(0.0))
 
 
-def fold_source(config: DefenseConfig, events) -> Column:
-    """struct of suspicion, events, threats, quarantined from an array of (seq..., threat) in order."""
-    start = F.struct(F.lit(0.0).alias("suspicion"), F.lit(0).cast("long").alias("events"), F.lit(0).cast("long").alias("threats"), F.lit(False).alias("quarantined"))
+def source_summary(config: DefenseConfig, threat) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """A response's summary and how two runs of responses merge.
 
-    def step(acc, e):
-        s = acc["suspicion"] * config.suspicion_decay + weight(config, e["threat"])
-        return F.struct(s.alias("suspicion"), (acc["events"] + 1).alias("events"), (acc["threats"] + (e["threat"] != "ACCEPT").cast("long")).alias("threats"), (acc["quarantined"] | (s >= config.quarantine_at)).alias("quarantined"))
+    n responses, of them `threats`; s, the suspicion they leave if none was there before;
+    needs, the least suspicion before them with which a source reaches quarantine among them.
+    """
+    t = F.col(threat) if isinstance(threat, str) else threat
 
-    return F.aggregate(events, start, step)
+    def before(goal: Column, gained: Column, kept: Column) -> Column:
+        """The start from which start * kept + gained comes to the goal; a start that has decayed to nothing can't help."""
+        settled = F.when(goal <= gained, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+        return F.when(kept > 0, (goal - gained) / kept).otherwise(settled)
 
+    def summary(n, s, needs, threats) -> Column:
+        return F.struct(n.cast("long").alias("n"), s.alias("s"), needs.alias("needs"), threats.cast("long").alias("threats"))
+
+    def both(a: Column, b: Column) -> Column:
+        decayed = F.pow(F.lit(config.suspicion_decay), b["n"])
+        reached = before(b["needs"], a["s"], F.pow(F.lit(config.suspicion_decay), a["n"]))
+        return summary(a["n"] + b["n"], a["s"] * decayed + b["s"], F.least(a["needs"], reached), a["threats"] + b["threats"])
+
+    w = weight(config, t)
+    one = summary(F.lit(1), w, before(F.lit(float(config.quarantine_at)), w, F.lit(float(config.suspicion_decay))), F.coalesce((t != "ACCEPT").cast("long"), F.lit(0)))
+    return one, both
 
-def source_states(config: DefenseConfig, events: DataFrame, key: str = "key", order=("ts", "event_id"), threat: str = "threat") -> DataFrame:
-    """key, suspicion, events, threats, quarantined after all events of each source."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(threat).alias("threat"))))
-    return events.groupBy(key).agg(listed.alias("e")).select(key, fold_source(config, F.col("e")).alias("s")).select(key, "s.*")
 
+def source_states(config: DefenseConfig, events: DataFrame, key: str = "key", order=("ts", "event_id"), threat: str = "threat") -> DataFrame:
+    """key, suspicion, events, threats, quarantined after all events of each source.
 
-def session_alert(config: DefenseConfig, events) -> Column:
-    """Responses for which the session still is on alert after an array of events in order."""
-    n = F.lit(config.session_alert_events)
-    return F.aggregate(events, F.lit(0), lambda a, e: F.when(e["threat"] == "REJECT", n).otherwise(F.greatest(F.lit(0), a - 1)))
+    A source's events may lie in many tasks: runs of them are summarised and merged in order.
+    A null threat is an event without weight; a null key is a source of its own.
+    Suspicion agrees with the step by step fold but for rounding.
+    """
+    one, both = source_summary(config, threat)
+    merged = ordered_fold(events, key, [*order, threat], one, both)
+    s = F.col("one")
+    return merged.select(key, s["s"].alias("suspicion"), s["n"].alias("events"), s["threats"].alias("threats"), (s["needs"] <= 0).alias("quarantined"))
 
 
 def session_states(config: DefenseConfig, events: DataFrame, session: str = "session", order=("ts", "event_id"), threat: str = "threat") -> DataFrame:
-    """session, session_alert, session_events, session_threats; the alert needs only what follows the last REJECT, so no events are listed."""
-    at = F.struct(*order)
-    last = events.where(F.col(threat) == "REJECT").groupBy(session).agg(F.max(at).alias("last"), F.count("*").alias("n"))
-    met = events.join(last, session, "left")
-    after = F.count_if((F.struct(*[F.col(c) for c in order]) > F.col("last")) & F.col("last").isNotNull())
-    out = met.groupBy(session).agg(F.count("*").alias("session_events"), F.coalesce(F.max("n"), F.lit(0)).alias("session_threats"), after.alias("since"), F.max("last").isNotNull().alias("ever"))
-    return out.select(session, F.when(F.col("ever"), F.greatest(F.lit(0), F.lit(config.session_alert_events) - F.col("since"))).otherwise(0).cast("int").alias("session_alert"), "session_events", "session_threats")
+    """session, session_alert, session_events, session_threats: the same merge; the alert needs only how many events follow the last REJECT."""
+    hit = F.coalesce(F.col(threat) == "REJECT", F.lit(False))
+
+    def summary(n, hits, since) -> Column:
+        return F.struct(n.cast("long").alias("n"), hits.cast("long").alias("hits"), since.cast("long").alias("since"))
+
+    def both(a: Column, b: Column) -> Column:
+        return summary(a["n"] + b["n"], a["hits"] + b["hits"], F.coalesce(b["since"], a["since"] + b["n"]))
+
+    merged = ordered_fold(events, session, [*order, threat], summary(F.lit(1), hit.cast("long"), F.when(hit, 0)), both)
+    s = F.col("one")
+    alert = F.coalesce(F.greatest(F.lit(0), F.lit(config.session_alert_events) - s["since"]), F.lit(0)).cast("int")
+    return merged.select(session, F.when(s["since"].isNull(), 0).otherwise(alert).alias("session_alert"), s["n"].alias("session_events"), s["hits"].alias("session_threats"))
 
 
 # ------------------------------------------------------------------ the closed loop: levels change decisions, which change levels
