@@ -164,21 +164,21 @@ class Session:
 OUT = "session string, seq long, key string, action string, threat string, level string, rules string, suspicion double, session_alert int"
 
 
-def _decided(session: Session, name, row: dict) -> dict:
+def decided(session: Session, name, row: dict) -> dict:
     got = session.step(row)
     return {"session": name, "seq": row["seq"], "key": row["key"], **got, "suspicion": float(session.sources.get(row["key"], [0.0])[0]), "session_alert": session.alert}
 
 
-def _records(frame: pd.DataFrame) -> list[dict]:
+def records(frame: pd.DataFrame) -> list[dict]:
     return frame.astype(object).where(frame.notna(), None).to_dict("records")
 
 
 def _play(session: Session, name, frame: pd.DataFrame) -> pd.DataFrame:
-    out = [_decided(session, name, row) for row in _records(frame.sort_values("seq", kind="stable"))]
-    return pd.DataFrame(out, columns=_columns(OUT))
+    out = [decided(session, name, row) for row in records(frame.sort_values("seq", kind="stable"))]
+    return pd.DataFrame(out, columns=columns_of(OUT))
 
 
-def _columns(schema: str) -> list[str]:
+def columns_of(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
@@ -193,15 +193,15 @@ def _in_order(config: DefenseConfig, statistics: DataFrame, saved: DataFrame | N
         now, session = object(), None
         for frame in frames:
             out = []
-            for row in _records(frame):
+            for row in records(frame):
                 if row["session"] != now:
                     if states and session is not None:
                         out.append({"session": now, "saved": session.dump()})
                     now, session = row["session"], Session(config, row["saved"])
-                got = _decided(session, now, row)
+                got = decided(session, now, row)
                 if not states:
                     out.append(got | {name: row[name] for name in number})
-            yield pd.DataFrame(out, columns=_columns(schema))
+            yield pd.DataFrame(out, columns=columns_of(schema))
         if states and session is not None:
             yield pd.DataFrame([{"session": now, "saved": session.dump()}])
 
