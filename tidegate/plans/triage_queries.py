@@ -463,6 +463,17 @@ def threat_events(spark, d):
     return threats(load(spark, d, "events")).withColumn("key", F.col("user_id"))
 
 
+def closed_loop_statistics(events, session, control=None):
+    """Each event as a response: its value is the risk, its user the source."""
+    none, name = F.lit(None).cast("string"), F.col("key").cast("string")
+    fixed_values = {"accept": 0.3, "reject": 0.7, "evidence": False, "residual": 0.1, "remaining": 10, "removed": 0, "empty": False, "ok": True}
+    risk = F.least(F.lit(1.0), F.abs("value") / 200.0)
+    return events.select(
+        F.col("event_id").alias("seq"), session.alias("session"), name.alias("key"), none.alias("domain"), F.lit("web").alias("modality"), F.lit("get").alias("tool"), risk.alias("risk"),
+        *[F.lit(v).alias(k) for k, v in fixed_values.items()], (none if control is None else control).alias("control"),
+    )
+
+
 @query("pol05_suspicion", EVENTS + " SELECT key, round(list_reduce(list_prepend(0::DOUBLE, w), lambda a, x: a * 0.85::DOUBLE + x), 6) AS suspicion, len(w) AS events, len(list_filter(th, lambda x: x <> 'ACCEPT')) AS threats FROM fo")
 def _(spark, d):
     return rounded(ad.source_states(CFG, threat_events(spark, d)).select("key", "suspicion", "events", "threats"))
@@ -481,11 +492,28 @@ def _(spark, d):
 @query("str04_closed_loop")
 def _(spark, d):
     e = threat_events(spark, d)
-    stats = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("s"), F.pmod("user_id", F.lit(8)).cast("string")).alias("session"), F.col("key").cast("string").alias("key"), F.lit(None).cast("string").alias("domain"), F.lit("web").alias("modality"), F.lit("get").alias("tool"),
-        F.least(F.lit(1.0), F.abs("value") / 200.0).alias("risk"), F.lit(0.3).alias("accept"), F.lit(0.7).alias("reject"), F.lit(False).alias("evidence"), F.lit(0.1).alias("residual"), F.lit(10).alias("remaining"), F.lit(0).alias("removed"), F.lit(False).alias("empty"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("control"))
+    stats = closed_loop_statistics(e, F.concat(F.lit("s"), F.pmod("user_id", F.lit(8)).cast("string")))
     return ad.decide_in_order(CFG, stats)
 
 
+# A session is opened anew where `most` other sessions of its shard were used since it was: each of them counts at its last use before.
+CAPPED = """, u AS (SELECT event_id, user_id AS k, user_id % 16 AS shard, event_id AS pos FROM events),
+v AS (SELECT *, lag(pos) OVER (PARTITION BY k ORDER BY pos) AS before, coalesce(lead(pos) OVER (PARTITION BY k ORDER BY pos), 9e15::BIGINT) AS next FROM u),
+w AS (SELECT a.event_id, count(*) AS others FROM v a JOIN v b ON a.shard = b.shard AND b.pos > a.before AND b.pos < a.pos AND b.next > a.pos GROUP BY a.event_id)
+SELECT v.event_id AS event, v.before IS NULL OR coalesce(w.others, 0) >= 4 AS opened FROM v LEFT JOIN w USING (event_id)"""
+
+
+@query("str05_capped_sessions", CAPPED)
+def _(spark, d):
+    """Every user a session, four of them kept in each of sixteen shards: where each event finds its session and where it opens it anew."""
+    from ..streaming.sessions import decide_capped
+
+    e = threat_events(spark, d)
+    stats = closed_loop_statistics(e, F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    decided = decide_capped(CFG, stats, most=4, shard=F.pmod(F.col("key").cast("long"), F.lit(16)).cast("int"))
+    return decided.select(F.col("seq").alias("event"), "opened")
+
+
 @query("str06_replay", """, t AS (SELECT doc_id, text, left(sha256(text), 2) AS key FROM documents), k AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS occurrence, sha256(text) AS delivery FROM t WHERE doc_id % 3 = 0)
 SELECT t.doc_id, k.occurrence, k.delivery FROM t JOIN (SELECT key, max(occurrence) AS last FROM k GROUP BY key) c USING (key) JOIN k ON k.key = t.key AND k.occurrence = least(c.last, 1 + t.doc_id % 7)""")
 def _(spark, d):
@@ -609,8 +637,7 @@ def _(spark, d):
     """Control rows in the same ordered stream: every tenth event releases its source, every fiftieth resets the session."""
     e = threat_events(spark, d)
     control = F.when(F.pmod("event_id", F.lit(50)) == 0, "reset").when(F.pmod("event_id", F.lit(10)) == 0, "release")
-    stats = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("s"), F.pmod("user_id", F.lit(8)).cast("string")).alias("session"), F.col("key").cast("string").alias("key"), F.lit(None).cast("string").alias("domain"), F.lit("web").alias("modality"), F.lit("get").alias("tool"),
-        F.least(F.lit(1.0), F.abs("value") / 200.0).alias("risk"), F.lit(0.3).alias("accept"), F.lit(0.7).alias("reject"), F.lit(False).alias("evidence"), F.lit(0.1).alias("residual"), F.lit(10).alias("remaining"), F.lit(0).alias("removed"), F.lit(False).alias("empty"), F.lit(True).alias("ok"), control.alias("control"))
+    stats = closed_loop_statistics(e, F.concat(F.lit("s"), F.pmod("user_id", F.lit(8)).cast("string")), control)
     return ad.decide_in_order(CFG, stats)
 
 
