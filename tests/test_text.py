@@ -95,3 +95,22 @@ def test_unknown_modalities_are_turned_away(spark):
     for bad in ({"modality": "video"}, {"modality": "image"}, {"modality": "text", "other": 1}):
         with pytest.raises(ValueError):
             inspect(spark, "x", **bad)
+
+
+def test_replacement_at_every_depth(spark):
+    """Strings below structs, lists and map values change; names, keys, numbers, nulls and empty lists stay."""
+    kind = "a string, b struct<c: string, n: int>, l array<struct<m: map<string, array<string>>>>, k map<string, string>, i array<int>"
+    rows = [
+        ("x x", ("yx", 1), [({"x": ["x", None, ""]},), None], {"x": "xx"}, [1]),
+        (None, None, None, None, None),
+        ("", (None, None), [], {}, []),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = df.select(*[tx.replace_nested(F.col(f.name), f.dataType, "x", "z").alias(f.name) for f in df.schema.fields])
+    assert [f.dataType.simpleString() for f in got.schema.fields] == [f.dataType.simpleString() for f in df.schema.fields]
+    plain = [tuple(r.asDict(recursive=True).values()) for r in got.collect()]
+    assert plain == [
+        ("z z", {"c": "yz", "n": 1}, [{"m": {"x": ["z", None, ""]}}, None], {"x": "zz"}, [1]),
+        (None, None, None, None, None),
+        ("", {"c": None, "n": None}, [], {}, []),
+    ]

@@ -625,6 +625,21 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", (F.replace("text", F.lit("the"), F.lit("THE")) == F.col("text")).alias("same"))
 
 
+@query("prj20_nested_replacement", """SELECT doc_id, sha256(replace(text, 'the', 'THE')) AS body, sha256(replace(text, 'the', 'THE')) AS lines, replace(lang, 'the', 'THE') AS inner_lang,
+'the source' AS map_key, replace(source, 'the', 'THE') AS map_value, doc_id AS kept FROM documents""")
+def _(spark, d):
+    """Whole documents as nested payloads: a struct with an inner struct, a list of lines as structs, a map whose keys hold the word as well."""
+    line = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.length(x).alias("chars")))
+    payload = F.struct(F.col("text").alias("body"), line.alias("lines"), F.struct("lang", "doc_id").alias("the_inner"), F.create_map(F.lit("the source"), F.col("source")).alias("by_key"))
+    p = load(spark, d, "documents").select("doc_id", payload.alias("payload"))
+    p = p.select("doc_id", tx.replace_nested(F.col("payload"), p.schema["payload"].dataType, "the", "THE").alias("p"))
+    lines = F.array_join(F.transform("p.lines", lambda x: x["line"]), "\n")
+    return p.select(
+        "doc_id", F.sha2("p.body", 256).alias("body"), F.sha2(lines, 256).alias("lines"), F.col("p.the_inner.lang").alias("inner_lang"),
+        F.map_keys("p.by_key")[0].alias("map_key"), F.map_values("p.by_key")[0].alias("map_value"), F.col("p.the_inner.doc_id").alias("kept"),
+    )
+
+
 @query("jon09_state_lookup", EVENTS + """, st AS (SELECT key, list_reduce(list_prepend(0::DOUBLE, w), lambda a, x: a * 0.85::DOUBLE + x) AS s FROM fo) SELECT event_id, CASE WHEN s >= 2.5 THEN 'high' WHEN s >= 1 THEN 'elevated' ELSE 'normal' END AS level FROM ev JOIN st USING (key)""")
 def _(spark, d):
     e = threat_events(spark, d)
