@@ -71,11 +71,9 @@ def play(spark, tmp_path, parts, most, tag, saved=None, shards=1):
 
 @pytest.fixture
 def store(spark):
-    provider, parts = spark.conf.get("spark.sql.streaming.stateStore.providerClass"), spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one shard: other partitions would only start empty state stores
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     yield
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
 
 
 def test_stream_and_restored_state(spark, tmp_path, store):
