@@ -435,6 +435,17 @@ def test_substrings(spark):
     assert rlz.dedup_substrings(docs(spark, [])).count() == 0
 
 
+def test_substrings_of_large_ids_beside_a_null_id(spark):
+    """Ids over 2**53 differ by one; a row without an id stands in every batch."""
+    rng = random.Random(21)
+    base = sentences(rng, 40)
+    texts = base + [f"x{i} {t}" for i, t in enumerate(base)]
+    large = spark.createDataFrame([(2**62 + i, t) for i, t in enumerate(texts)] + [(None, f"{base[0]} {i}") for i in range(100)], "doc_id long, text string")
+    rows = rlz.dedup_substrings(large).collect()
+    assert {r.doc_id - 2**62: (r.n_words, r.n_removed, r.kept_sha256) for r in rows if r.doc_id is not None} == brute_windows(texts)
+    assert len(rows) == 180 and all(r.n_removed == 0 for r in rows if r.doc_id is None)
+
+
 def test_common_minimizers_are_dealt_by_window(spark, monkeypatch):
     rng = random.Random(19)
     shared = " ".join(f"p{i}" for i in range(20))
