@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import MODALITIES, RUNTIME_TRUST, DefenseConfig, TrustConfig
 from ..functions import detect, hosts, policy, scan, text as tx, trust
 from ..functions.fixed import SIGNATURES as _SIGNATURES
-from ..sources.tables import cut
+from ..sources.tables import cut, discard
 from ..streaming.adaptive import decide_in_order
 
 SIGNATURES = tuple(_SIGNATURES)
@@ -21,6 +21,25 @@ ROW = "_response"
 RESPONSE = "seq long, session string, content string, modality string, tool_name string, source_url string, image_path string, visual_threat double, alignment double"
 
 
+#: What a text is mostly equal to, in the order in which texts are put back.
+COPIES = {"delivery_text": "content", "detection_lines": "delivery_text", "sanitised": "delivery_text"}
+
+
+def without_copies(df: DataFrame) -> DataFrame:
+    """df for a table: a text that is the same as the one it was made from is null there, and `_same_<text>` says so."""
+    held = {t: w for t, w in COPIES.items() if t in df.columns}
+    same = df.withColumns({f"_same_{t}": F.col(t).eqNullSafe(F.col(w)) for t, w in held.items()})
+    return same.withColumns({t: F.when(~F.col(f"_same_{t}"), F.col(t)) for t in held})
+
+
+def with_copies(df: DataFrame) -> DataFrame:
+    """The inverse of without_copies()."""
+    for t, w in COPIES.items():
+        if t in df.columns:
+            df = df.withColumn(t, F.when(F.col(f"_same_{t}"), F.col(w)).otherwise(F.col(t))).drop(f"_same_{t}")
+    return df
+
+
 def input_status(modality, image_path) -> Column:
     """ok, bad_modality or no_image_path; what isn't ok goes to a dead-letter table."""
     m = tx._c(modality)
@@ -131,24 +150,35 @@ def sanitise(df: DataFrame, key: str, text: str, domain: str, config: DefenseCon
     return scored.groupBy(key).agg(tx.reconstruct(listed).alias("sanitised"), F.count("*").alias("n_segments"), F.count_if(F.col("_verdict") == "removed").alias("n_removed"), F.count_if(F.col("_verdict") == "flagged").alias("n_flagged"))
 
 
-def features(responses: DataFrame, config: DefenseConfig, trust_config: TrustConfig, scorer: str = "keyword") -> DataFrame:
-    """One row of statistics and texts for each response; nothing here depends on what came before it."""
+def features(responses: DataFrame, config: DefenseConfig, trust_config: TrustConfig, scorer: str = "keyword", steps: list[str] | None = None) -> DataFrame:
+    """One row of statistics and texts for each response; nothing here depends on what came before it.
+
+    A table between two steps holds a text once, and goes when the next one is written.
+    steps: gets the path of the last one, for discard() after the features are written.
+    """
+    steps, past = [] if steps is None else steps, []
     meta = hosts.metadata("source_url", "modality", "tool_name", "content")
-    base = responses.withColumn("meta", meta).withColumn("key", hosts.source_key("meta.domain", "tool_name")).withColumn("domain", F.col("meta.domain")).drop("meta")
+    base = responses.select(*[c.split()[0] for c in RESPONSE.split(", ")]).withColumn("meta", meta).withColumn("key", hosts.source_key("meta.domain", "tool_name")).withColumn("domain", F.col("meta.domain")).drop("meta")
     base = base.withColumn("empty", F.coalesce(F.col("modality") != "image", F.lit(True)) & (F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+", " ")) == ""))
     # numbered where it is written, so that a number stays what it is however often the table is read
-    known = cut(filter_content(base).withColumn(ROW, F.monotonically_increasing_id()), "filtered")
-    full = known.where("not empty")
+    filtered = without_copies(filter_content(base).drop("detection_text").withColumn(ROW, F.monotonically_increasing_id()))
+    known = with_copies(cut(filtered, "filtered", past))
+    full = known.where("not empty").withColumn("detection_text", tx.flatten("detection_lines"))
     full = full.withColumns({"pattern": detect.signature_score("detection_text"), "hidden_pattern": detect.signature_score("concealed_text")})
     full = with_gated_threat(full, ROW, "detection_lines", "modality", config, scorer, "t")
     full = with_threat(full, ROW, "concealed_text", "modality", config, scorer, "hidden_t")
     full = full.withColumn("concealed", (F.col("concealed_text") != "") & ((F.col("hidden_pattern") >= config.concealed_pattern_threshold) | (F.coalesce("hidden_t", F.lit(0.0)) >= config.concealed_model_threshold)))
     full = trust.with_assessment(full, trust_config, "x", "modality", "t", "visual_threat", F.col("alignment"), F.col("detection_text") != "")
-    full = cut(with_sanitised(full, ROW, "delivery_text", "modality", config, scorer), "sanitised")
+    full = full.withColumn("_hidden", F.col("concealed_text") != "").drop("detection_lines", "detection_text", "concealed_text", "n_comments", "is_html", "visual_threat")
+    full = with_sanitised(full, ROW, "delivery_text", "modality", config, scorer)
+    blank = [ROW, "seq", "session", "key", "domain", "modality", "tool_name", "source_url", "image_path", "empty", "content"]
+    known = cut(without_copies(full).unionByName(known.where("empty").select(blank), allowMissingColumns=True), "sanitised", steps)
+    discard(past)
+    full = with_copies(known.where("not empty"))
     full = full.withColumn("_rest", scan.unicode_parts("sanitised")["detection"])
     full = with_gated_threat(full, ROW, "_rest", "modality", config, scorer, "t_post").withColumn("p_post", detect.signature_score("_rest"))
     full = trust.with_assessment(full, trust_config, "y", "modality", "t_post", F.lit(None).cast("double"), F.col("alignment"), tx.strip(F.col("_rest")) != "")
-    injection = F.greatest("t", "pattern", F.when(F.col("concealed_text") != "", F.col("hidden_t")), F.when(F.col("concealed_text") != "", F.col("hidden_pattern")))
+    injection = F.greatest("t", "pattern", F.when(F.col("_hidden"), F.col("hidden_t")), F.when(F.col("_hidden"), F.col("hidden_pattern")))
     full = full.withColumns(
         {
             "risk": F.col("x.risk"), "accept": F.col("x.accept_below"), "reject": F.col("x.reject_at_or_above"), "injection": injection, "residual": F.when(F.col("y.risk").isNotNull(), F.greatest("y.risk", "p_post")), "post_trust": F.col("y.trust"), "trust": F.col("x.trust"),
@@ -156,7 +186,6 @@ def features(responses: DataFrame, config: DefenseConfig, trust_config: TrustCon
         }
     )
     kept = [ROW, "seq", "session", "key", "domain", "modality", "tool_name", "source_url", "image_path", "empty", "risk", "accept", "reject", "evidence", "residual", "remaining", "removed", "trust", "post_trust", "injection", "delivery_text", "sanitised", "n_hidden", "n_removed", "content"]
-    blank = [ROW, "seq", "session", "key", "domain", "modality", "tool_name", "source_url", "image_path", "empty", "content"]
     return full.select(kept).unionByName(known.where("empty").select(blank), allowMissingColumns=True)
 
 
@@ -168,11 +197,13 @@ def triage(responses: DataFrame, config: DefenseConfig | None = None, trust_conf
     session of its own; an empty table has no deliveries; further columns are ignored.
     """
     config = config or DefenseConfig()
-    full = cut(features(responses, config, trust_config, scorer), "features")  # texts are read and judged once; the fold reads numbers
+    steps: list[str] = []
+    full = cut(without_copies(features(responses, config, trust_config, scorer, steps)), "features")  # texts are read and judged once; the fold reads numbers
+    discard(steps)
     alone = F.coalesce("session", F.concat(F.lit("\x00"), F.col(ROW).cast("string")))
     stats = full.select(ROW, "seq", alone.alias("session"), "key", "domain", "modality", F.col("tool_name").alias("tool"), "empty", "risk", "accept", "reject", "evidence", "residual", "remaining", "removed", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("control"), F.lit(trust_config.no_evidence_decision).alias("no_evidence"))
     decided = decide_in_order(config, stats, row=ROW).select(ROW, "action", "threat", "level", "rules")
-    out = full.join(decided, ROW)
+    out = with_copies(full.join(decided, ROW))
     clean = F.contains("rules", F.lit("R7"))
     content = F.when(F.col("action") == "ACCEPT", F.coalesce("delivery_text", F.lit(""))).when(F.col("action") == "SANITIZE", F.col("sanitised")).otherwise("")
     told = policy.notice(config, "action", "n_removed", "n_hidden")

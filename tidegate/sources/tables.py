@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, steps: list[str] | None = None) -> DataFrame:
     """Write df below spark.checkpoint.dir and read it again: plans stay small and survive lost executors.
 
-    Only where that setting is missing in a local session a temporary folder is used; a cluster must name one.
+    steps: gets the table's path, for discard().  Only where that setting is missing in a local session a temporary folder is used; a cluster must name one.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,16 +30,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
-    df.write.parquet(path)
+    if steps is not None:
+        steps.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(steps: list[str]) -> None:
+    """Delete the tables of these paths; what read them must have been written."""
+    for spark, path in [x for x in _written if x[1] in steps]:
+        _written.remove((spark, path))
+        _delete(spark, path)
+    steps.clear()
+
+
 def release() -> None:
     """Delete every table that cut() wrote, also at exit; what still reads them must be consumed first."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
+        _delete(*_written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
