@@ -87,3 +87,17 @@ def test_copies_come_back(spark):
     slim = without_copies(df)
     assert sorted(map(tuple, with_copies(slim).select(df.columns).collect()), key=lambda r: r[0]) == every
     assert slim.where("content = delivery_text or sanitised = delivery_text").count() == 0
+
+
+def test_outcomes_leave_no_inner_tables(spark):
+    """Documents and pages, counted by outcome: every one of them, and one table is left, of the size of one reading."""
+    from tidegate.plans import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.iterdir())
+    counted = QUERIES["run07_outcomes_by_kind"](spark, d).groupBy("kind").sum("n").collect()
+    assert {r[0]: r[1] for r in counted} == {k: spark.read.parquet(f"{d}/{t}.parquet").count() for k, t in (("document", "documents"), ("page", "pages"))}
+    left = set(shared.iterdir()) - before
+    assert [x.name.split("-")[0] for x in left] == ["features"]
+    assert sum(x.stat().st_size for at in left for x in at.rglob("*.parquet")) < 2 * sum(x.stat().st_size for t in ("documents", "pages") for x in [Path(d, f"{t}.parquet")])
