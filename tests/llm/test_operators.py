@@ -589,3 +589,17 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert {r.lang for r in cp.language_id(spark, named, "").collect()} == {"en"}
     last = cp.bpe_encode(spark, mixed.withColumn("ids", F.lit("clash")), "").where("doc_id <> 50")
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.decoded_sha256 for r in last.collect())
+
+
+def test_words_of_ascii_are_cut_alike():
+    """The quicker matcher of ASCII texts against the word pattern, over every ASCII character, and against the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library, rng = bpe.Codec(bpe.read_spec(path)), Tokenizer.from_file(path), random.Random(7)
+    some = [*map(chr, range(128)), "'s", "'ll", "the", "ing", "  ", "aa", "12"] + [" "] * 20
+    for _ in range(1_500):
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(60)))
+        assert own.find_ascii(text) == own.find(text)
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids

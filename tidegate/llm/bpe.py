@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from heapq import heapify, heappop, heappush
 
@@ -34,6 +35,9 @@ _SPACES = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the public word pattern of byte-level BPE, with white space spelled out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 
+#: What PATTERN is over ASCII, for the quicker matcher.
+ASCII_PATTERN = PATTERN.replace(r" ?\p{L}+", " ?[A-Za-z]+").replace(r" ?\p{N}+", " ?[0-9]+").replace(r"\p{L}\p{N}", "A-Za-z0-9")
+
 
 def byte_alphabet() -> dict[int, str]:
     """Byte -> the visible character that stands for it in byte-level vocabularies."""
@@ -51,35 +55,48 @@ class Codec:
         self.specials = {t: i for t, i in spec["specials"]}
         self.strings = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items()} | {i: t.encode() for t, i in self.specials.items()}
         self.of_byte = [vocab[c] for _, c in sorted(byte_alphabet().items())]
-        self.rank = {vocab[a] << 32 | vocab[b]: r for r, (a, b) in enumerate(merges)}
+        self.rank = {vocab[a] << 32 | vocab[b]: r << 32 for r, (a, b) in enumerate(merges)}
+        self.of_bytes = [self.rank.get(a << 32 | b, -1) for a in self.of_byte for b in self.of_byte]  # of a word's neighbours before any merge
+        self.name = {i: str(i) for i in self.strings}
         self.made = [vocab[a + b] for a, b in merges]
-        self.find = regex.compile(PATTERN).findall
+        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")").split if self.specials else lambda t: [t]
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
     def merge(self, word: bytes) -> list[int]:
-        ids = [self.of_byte[b] for b in word]
+        ids = [*map(self.of_byte.__getitem__, word)]
         n = len(ids)
-        rank = self.rank.get
-        queue = [r << 32 | i for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
+        pairs = self.of_bytes
+        now = [pairs[a << 8 | b] for a, b in zip(word, word[1:])]  # rank, shifted, of the pair that begins at each place
+        queue = [r | i for i, r in enumerate(now) if r >= 0]
         if not queue:
             return ids
         heapify(queue)
-        after, before, made = list(range(1, n + 1)), list(range(-1, n - 1)), self.made
+        now.append(-1)
+        rank, made = self.rank.get, self.made
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while queue:
             top = heappop(queue)
-            i, r = top & 0xFFFFFFFF, top >> 32
-            if ids[i] < 0 or (j := after[i]) >= n or rank(ids[i] << 32 | ids[j]) != r:
+            i = top & 0xFFFFFFFF
+            if now[i] | i != top:
                 continue  # stale
-            ids[i], ids[j] = made[r], -1
+            j = after[i]
+            ids[i] = new = made[top >> 32]
+            ids[j] = now[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (x := rank(ids[i] << 32 | ids[k])) is not None:
-                    heappush(queue, x << 32 | i)
-            if (h := before[i]) >= 0 and (x := rank(ids[h] << 32 | ids[i])) is not None:
-                heappush(queue, x << 32 | h)
+                now[i] = x = rank(new << 32 | ids[k], -1)
+                if x >= 0:
+                    heappush(queue, x | i)
+            else:
+                now[i] = -1
+            h = before[i]
+            if h >= 0:
+                now[h] = x = rank(ids[h] << 32 | new, -1)
+                if x >= 0:
+                    heappush(queue, x | h)
         return [x for x in ids if x >= 0]
 
     def decode(self, ids) -> bytes:
@@ -90,8 +107,8 @@ class Codec:
         """(ids, ids as text, decoded bytes) of a word not in the young memo."""
         got = self.old.get(word)
         if got is None:
-            ids = self.merge(word.encode())
-            got = ids, ",".join(map(str, ids)), self.decode(ids)
+            ids = tuple(self.merge(word.encode()))  # no list: the collector need not look at what holds only numbers and strings
+            got = ids, ",".join(map(self.name.__getitem__, ids)), self.decode(ids)
         if len(word) < 64:
             if len(self.young) >= MEMO_WORDS:
                 self.young, self.old = {}, self.young
@@ -103,9 +120,9 @@ class Codec:
         for piece in self.cut(text) if self.specials else [text]:
             if piece in self.specials:
                 i = self.specials[piece]
-                out.append(([i], str(i), self.strings[i]))
+                out.append(((i,), str(i), self.strings[i]))
             elif piece:
-                words = self.find(piece)
+                words = self.find_ascii(piece) if piece.isascii() else self.find(piece)
                 known = self.young.get
                 out += [known(w) or self.word(w) for w in words]
         return out
