@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most rows of an Arrow batch while a table is written.
+BATCH_ROWS = 200
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -32,7 +35,13 @@ def cut(df: DataFrame, name: str, steps: list[str] | None = None) -> DataFrame:
     _written.append((spark, path))
     if steps is not None:
         steps.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_to = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(set_to), BATCH_ROWS) if int(set_to) > 0 else BATCH_ROWS))  # rows are whole texts, and a task has a worker for each function
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(batch, set_to)
     return spark.read.schema(df.schema).parquet(path)
 
 
